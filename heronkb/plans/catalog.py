@@ -1,0 +1,6 @@
+"""The query catalogue: name -> query, and name -> SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
