@@ -16,7 +16,6 @@ documents are read once for each block, which is once for any usual benchmark. D
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Callable
 from itertools import chain

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, simhash
+from . import decontam, licenses, packing, pii, simhash, toxicity
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,9 +19,29 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_t(spark, sf_dir, "documents"))
 
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_t(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_t(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
+    "op7_licenses": op7_licenses,
+    "op10_pack": op10_pack,
 }
 SQL = {
     "op1_decontaminate": decontam.SQL,
