@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, packing, pii, simhash, toxicity
+from . import decontam, licenses, order_minhash, packing, pii, ring, simhash, toxicity, urlfilter, warc
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,10 +15,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_likeness(_t(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(_t(spark, sf_dir, "documents"))
 
 
+def op8_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.digest(_t(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(_t(spark, sf_dir, "pages"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_t(spark, sf_dir, "documents"))
 
@@ -31,18 +43,22 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_t(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(_t(spark, sf_dir, "pages"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(_t(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    "op1_decontaminate": op1_decontaminate,
-    "op3_simhash": op3_simhash,
-    "op4_toxicity": op4_toxicity,
-    "op5_pii": op5_pii,
-    "op7_licenses": op7_licenses,
-    "op10_pack": op10_pack,
+    f.__name__: f
+    for f in (op1_decontaminate, op2_order_minhash, op3_simhash, op4_toxicity, op5_pii, op6_warc, op7_licenses, op8_ring, op9_url_filter, op10_pack)
 }
+#: The others are tested against brute force in tests/llm: SQL has no XXH64, sequential packing, positions of
+#: matches or learned weights.
 SQL = {
     "op1_decontaminate": decontam.SQL,
+    "op6_warc": warc.SQL,
+    "op9_url_filter": urlfilter.SQL,
 }

@@ -36,9 +36,9 @@ STEMS = (5, 6, 7, 8)
 
 
 class Ftrl(NamedTuple):
-    alpha: float = 0.3
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 0.4
+    l1: float = 5.0
     l2: float = 0.1
     epochs: int = 4
 
