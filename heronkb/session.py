@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +19,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("HERONKB_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; in local mode, where unset, a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='heronkb-')}")
+    return context.getCheckpointDir()
