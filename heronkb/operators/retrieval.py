@@ -110,8 +110,9 @@ def embed(rows: DataFrame, text: str = "text", hooks: Hooks = DEFAULT.hooks) ->
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null where a vector is all zeros."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
