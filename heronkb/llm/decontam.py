@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -171,16 +170,6 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _merge(parts: list[tuple[int, list[tuple[int, int]], set[int]]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(set(chain.from_iterable(p[1] for p in parts))):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns kept, in which no window of any item occurs."""
     for make in _scanners(docs.sparkSession, benchmark, n, item_id, item_text, block_bytes):
@@ -196,7 +185,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, tex
 def cut_spans(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All documents and columns, with every occurrence of a window cut out of the text.
 
-    Blocks of a large benchmark are cut one after the other.
+    Blocks of a large benchmark are cut one after the other, each from what the others left.
     """
     for make in _scanners(docs.sparkSession, benchmark, n, item_id, item_text, block_bytes):
 
@@ -204,7 +193,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str =
             scanner = make()
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                cuts = [x if x is None or not (s := _merge([scanner.scan(x)])) else cut(x, s) for x in as_bytes(batch[text])]
+                cuts = [x if x is None or not (s := scanner.scan(x)[1]) else cut(x, s) for x in as_bytes(batch[text])]
                 place = batch.schema.get_field_index(text)
                 return batch.set_column(place, batch.schema.field(place), pa.array(cuts, pa.binary()).cast(batch.schema.field(place).type))
 
