@@ -241,3 +241,29 @@ def test_stream_state_and_batches(spark, small, tmp_path):
     sizes = observe.session_sizes(turns.select(F.col("conv_id").alias("session_id"))).writeStream.outputMode("update").format("memory").queryName("sizes").option("checkpointLocation", str(tmp_path / "s2")).trigger(availableNow=True).start()
     sizes.awaitTermination()
     assert spark.table("sizes").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/conversations.parquet").count()
+
+
+def test_figures_and_answers(spark):
+    from heronkb.sources import figures
+
+    rows = spark.createDataFrame([(1, 1, 0, '{"fig_class": "chart", "description": "Sales by year"}', "cap"), (1, 1, 1, '{"fig_class": "logo", "description": "x"}', ""), (1, 2, 0, "broken", None)], "doc_id bigint, page_number int, figure int, answer string, caption string")
+    made = figures.with_tokens(rows).withColumns(figures.described(F.col("answer")))
+    assert [(r.token, r.informative) for r in made.orderBy("page_number", "figure").collect()] == [("[[FIGURE_0000]]", True), ("[[FIGURE_0001]]", False), ("[[FIGURE_0002]]", False)]
+    blocks = made.withColumn("block", figures.block(F.lit("a/b.png"), F.col("caption"), F.col("description"), F.col("informative")))
+    pages = spark.createDataFrame([(1, 1, "x[[FIGURE_0000]]y[[FIGURE_0001]]z"), (1, 3, "plain")], "doc_id bigint, page_number int, md string")
+    got = {r.page_number: r.md for r in figures.put_figures(pages, blocks).collect()}
+    assert got == {1: "x\n\n![cap](a/b.png)\n\n> **Figure:** Sales by year\n\ny\n\nz", 3: "plain"}
+    reads = spark.createDataFrame([("short", "a longer and clean text"), ("a longer and clean text", "short"), ("x", ""), (None, "new")], "a string, b string")
+    assert [r[0] for r in reads.select(figures.accept_repair(F.col("a"), F.col("b"))).collect()] == [True, False, False, True]
+    assert spark.range(1).select(figures.answered_languages(F.lit("DE, en, zz, de"))).first()[0] == ["de", "en"]
+    assert figures.prompt("to {LANG}: {X}", LANG="en", X=1) == "to en: 1"
+
+
+def test_demo_is_searchable(spark):
+    from heronkb.operators import ingest
+    from heronkb.sources import figures
+
+    made = ingest.ingest(figures.demo_pages(spark).drop("folder_path"))
+    hits = retrieval.top(retrieval.lexical(made["documents"], asked(spark, "blade month"), text="md"), 3).collect()
+    assert [r.doc_id for r in hits] == [2] and made["sections"].count() == 9
+    assert {r.norm for r in made["entities"].collect()} >= {"band saw bs-7", "bs-7"}
