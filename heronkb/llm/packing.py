@@ -22,8 +22,10 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,9 +35,11 @@ from .arrow import map_rows
 from .recovery import checkpointed
 
 CAPACITY, END_ID, SALT = 4096, 1, 64
-_MEMORY = 300_000
-_RARE = set("\x1c\x1d\x1e\x1f")
-_STEM = re.compile(r"([^\W_]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]+)")
+_MEMORY, _TOGETHER = 400_000, 1 << 21
+_RARE = "\x1c\x1d\x1e\x1f"
+#: Latin letters and digits before a border, ASCII punctuation before one, or what is left up to white space.
+#: Only letters that stay single letters when normalised and lower-cased: U+0130, for one, would end in a mark.
+_PIECE = re.compile(r"[0-9A-Za-zÀ-ÖØ-öø-įı-ɏ]++(?=[\s!-&(-/:-@\[-`{-~]|\Z)|[!-&(-/:-@\[-`{-~]++(?=[0-9A-Za-zÀ-ÖØ-öø-įı-ɏ]|\s|\Z)|\S+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,46 +48,77 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokens(dict):
-    """Token ids of a text as little-endian unsigned 32-bit numbers, with a memory of words already met.
+class WordTokens:
+    """Token ids of texts as little-endian unsigned 32-bit numbers, with a memory of pieces already met.
 
-    The tokenizer never joins across white space, nor across the border between a letter or digit and
-    ASCII punctuation other than an apostrophe, and it ignores ASCII case; so a text is the sum of such
-    pieces. Texts with a special token's string, or with one of the four control characters on which
-    Python and the tokenizer disagree about white space, go to the tokenizer whole. The memory holds
-    two generations of ``_MEMORY`` words, of which the older is forgotten as a whole.
+    The tokenizer never joins across white space, nor across the border between a Latin letter or digit
+    and ASCII punctuation other than an apostrophe, and it ignores case; so a text is the sum of the
+    pieces between such borders. New pieces of letters are tokenised many at a time: each ends with a token
+    that only ends words, which tells them apart again. Texts with a special token's string, or with one
+    of the four control characters on which Python and the tokenizer disagree about white space, go to
+    the tokenizer whole. The memory has two generations of ``_MEMORY`` pieces, of which the older is
+    forgotten as a whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.odd = (*_RARE, *(t.content for t in self.model.get_added_tokens_decoder().values()))
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _MEMORY:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(word)
-        if ids is None:
-            stem = _STEM.fullmatch(word)
-            if stem:
-                ids = self[stem[1]] + self[stem[2]]
-            elif word.isascii() and (low := word.lower()) != word:
-                ids = self[low]
-            else:
-                ids = self._encode(word)
-        self[word] = ids
-        return ids
-
     def _encode(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) >= _MEMORY:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = pieces.difference(known)
+        known.update((w, old[w]) for w in new.intersection(old))
+        words = [w for w in new if w.isalpha() and w not in known]
+        if words:
+            ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(words):
+                data, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+                known.update((w, data[a:b]) for w, a, b in zip(words, at, at[1:]))
+        known.update((w, self._encode(w)) for w in new if w not in known)
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.odd):
+            return None
+        try:  # in Latin-1, lower case is a matter of single letters
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return _PIECE.findall(text)
+
     def ids(self, text: str) -> bytes:
-        if not _RARE.isdisjoint(text) or any(s in text for s in self.special):
-            return self._encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return next(self.ids_of([text]))
+
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            part, size = [], 0
+            while at < len(texts) and size < _TOGETHER:
+                part.append(texts[at])
+                size, at = size + len(texts[at]), at + 1
+            cut = [self._pieces(x) for x in part]
+            self._learn(set().union(*filter(None, cut)))
+            get = self.known.__getitem__
+            yield from (self._encode(x) if xs is None else b"".join(map(get, xs)) for x, xs in zip(part, cut))
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One memory for each Python worker, which outlives its tasks."""
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -93,12 +128,13 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
     kind = picked.schema["doc_id"].dataType.simpleString()
 
     def start() -> Callable[[pa.RecordBatch], dict]:
-        words = WordTokens(path)
+        words = word_tokens(path)
 
         def each(batch: pa.RecordBatch) -> dict:
             out: dict = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for key, content in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = words.ids(content or "") + end
+            contents = [x or "" for x in batch["text"].to_pylist()]
+            for key, ids in zip(batch["doc_id"].to_pylist(), words.ids_of(contents)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out["doc_id"].append(key)
