@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local["):
+        if not named and context.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='heronkb-')}")
     return context.getCheckpointDir()
