@@ -52,23 +52,28 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.size(found).cast("bigint").alias("n_terms"), F.explode(found).alias("term"))
 
 
-def _matches(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Postings of the query terms only, with document lengths; and the corpus's size and mean length."""
+def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """n_docs, avgdl: one row, worth keeping beside a corpus that is searched often."""
+    return docs.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def _matches(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Postings of the query terms only, with document lengths."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("bigint"))
-    whole = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     wanted = terms.select("term").distinct()
-    hits = rows.select("doc_id", "dl", F.explode("toks").alias("term")).join(small(wanted), "term").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    return hits, whole
+    return rows.select("doc_id", "dl", F.explode("toks").alias("term")).join(small(wanted), "term").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def lexical(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, scorer: str = "bm25", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lexical(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, scorer: str = "bm25", stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, doc_id, score for each match: all terms of a query, or any.
 
+    ``stats`` (see ``corpus_stats``) saves the pass over the corpus that finds its size and mean length.
+
     Scores are Okapi BM25 (k1 1.2, b 0.75) over the whole corpus, or plain term frequency, rounded to
     six places so that ranks don't hang on the order of a sum.
     """
     terms = query_terms(queries)
-    hits, whole = _matches(docs, terms, doc_id, text)
+    hits, whole = _matches(docs, terms, doc_id, text), corpus_stats(docs, text) if stats is None else stats
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     joined = hits.join(small(terms), "term").join(small(df), "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
