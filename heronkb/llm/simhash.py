@@ -18,7 +18,7 @@ forests meet in distributed connected components.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -63,18 +63,22 @@ def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> in
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.col(text))
+
+
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    """doc_id, row_key (a hash of id and text) and fp, the fingerprint as a signed 64-bit number."""
+    picked = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
 
     def start():
         def each(batch: pa.RecordBatch) -> dict:
             found = np.array([fingerprint(x, size, seed) for x in as_bytes(batch["text"])], np.uint64)
-            return {"doc_id": batch["doc_id"], "fp": found.view(np.int64)}
+            return {"doc_id": batch["doc_id"], "row_key": batch["row_key"], "fp": found.view(np.int64)}
 
         return each
 
-    return map_rows(picked, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp bigint", start)
+    return map_rows(picked, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row_key bigint, fp bigint", start)
 
 
 def bucket_keys(fp: Column, errors: int, exact: int) -> Column:
@@ -203,31 +207,39 @@ def links(distinct: DataFrame, *, errors: int = ERRORS, exact: int = EXACT) -> D
     return dealt.mapInArrow(run, "src bigint, dst bigint")
 
 
+def classes_of(prints: DataFrame, *, errors: int = ERRORS, exact: int = EXACT) -> DataFrame:
+    """fp, class, component_id for each distinct fingerprint of ``prints`` (doc_id, fp), which is read more than once."""
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    found = connected_components(links(firsts.select("fp"), errors=errors, exact=exact))
+    linked = firsts.join(found, firsts["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
+    named = linked.groupBy("class").agg(F.min("first_id").alias("component_id"))
+    return linked.select("fp", "class").join(named, "class").select("fp", "class", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, errors: int = ERRORS, exact: int = EXACT, seed: int = SEED) -> DataFrame:
     """doc_id, fp, component_id: the least id of all documents that links reach, for each document row."""
     prints = checkpointed(fingerprints(docs, doc_id=doc_id, text=text, size=size, seed=seed))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    classes = connected_components(links(firsts.select("fp"), errors=errors, exact=exact))
-    linked = firsts.join(classes, firsts["fp"] == classes["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
-    named = linked.groupBy("class").agg(F.min("first_id").alias("component_id"))
-    members = linked.select("fp", "class").join(named, "class").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes_of(prints, errors=errors, exact=exact), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, all columns kept, with one row of each class: that of the least id.
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, errors: int = ERRORS, exact: int = EXACT, seed: int = SEED) -> DataFrame:
+    """The documents, all columns kept, with one row of each class: that of the least id, null ids last.
 
-    Of rows that share that id, the least by all columns in order stays. A class of null ids keeps one.
+    Of rows that share id and text, the least by all columns in order stays. Texts are shuffled once, by
+    the hash of id and text; the join and the choice among equals use that one order.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rest = docs.join(keep, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return rest.groupBy(F.col(f"`{doc_id}`").alias("__id")).agg(F.min(whole).alias("__row")).select("__row.*")
+    prints = checkpointed(fingerprints(docs, doc_id=doc_id, text=text, size=size, seed=seed))
+    members = prints.join(classes_of(prints, errors=errors, exact=exact), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("f")
+    keep = members.groupBy("class").agg(first).select(F.col("f.row_key").alias("__key"), F.col("f.doc_id").alias("__kept"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select(row_key(doc_id, text).alias("__key"), F.col(f"`{doc_id}`").alias("__id"), whole)
+    chosen = rows.join(keep, (rows["__key"] == keep["__key"]) & rows["__id"].eqNullSafe(keep["__kept"]), "left_semi")
+    return chosen.groupBy("__key", "__id").agg(F.min("__row").alias("__row")).select("__row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
