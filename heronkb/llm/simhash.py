@@ -238,7 +238,9 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", siz
     keep = members.groupBy("class").agg(first).select(F.col("f.row_key").alias("__key"), F.col("f.doc_id").alias("__kept"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = docs.select(row_key(doc_id, text).alias("__key"), F.col(f"`{doc_id}`").alias("__id"), whole)
-    chosen = rows.join(keep, (rows["__key"] == keep["__key"]) & rows["__id"].eqNullSafe(keep["__kept"]), "left_semi")
+    # Not a null-safe equality, which would become a join key and deal the texts anew before the grouping.
+    same = F.coalesce(rows["__id"] == keep["__kept"], rows["__id"].isNull() & keep["__kept"].isNull())
+    chosen = rows.join(keep, (rows["__key"] == keep["__key"]) & same, "left_semi")
     return chosen.groupBy("__key", "__id").agg(F.min("__row").alias("__row")).select("__row.*")
 
 
