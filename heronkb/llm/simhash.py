@@ -233,7 +233,11 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", siz
     the hash of id and text; the join and the choice among equals use that one order.
     """
     prints = checkpointed(fingerprints(docs, doc_id=doc_id, text=text, size=size, seed=seed))
-    members = prints.join(classes_of(prints, errors=errors, exact=exact), "fp")
+    return first_of_each(docs, prints.join(classes_of(prints, errors=errors, exact=exact), "fp"), doc_id=doc_id, text=text)
+
+
+def first_of_each(docs: DataFrame, members: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that ``keep_one`` keeps of the classes in ``members`` (doc_id, row_key, class)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("f")
     keep = members.groupBy("class").agg(first).select(F.col("f.row_key").alias("__key"), F.col("f.doc_id").alias("__kept"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
