@@ -622,6 +622,15 @@ def section_diff(spark, sf):
     return editing.diff(_heads(spark, sf, 0), _heads(spark, sf, 1))
 
 
+@query(f"WITH {SECTIONS}, c AS (SELECT doc_id, trim(regexp_replace(lower(heading), '\\s+', ' ', 'g')) AS key, arg_max(heading, order_index) AS heading, arg_max(content, order_index) AS content FROM raw_sections GROUP BY 1, 2), e AS (SELECT doc_id, order_index, heading || CASE WHEN (doc_id + order_index) % 7 = 1 THEN ' (renamed)' ELSE '' END AS heading, content || CASE WHEN (doc_id + order_index) % 7 = 0 THEN ' (edited)' ELSE '' END AS content FROM raw_sections), i AS (SELECT doc_id, trim(regexp_replace(lower(heading), '\\s+', ' ', 'g')) AS key, arg_max(heading, order_index) AS heading, arg_max(content, order_index) AS content FROM e GROUP BY 1, 2) SELECT coalesce(c.doc_id, i.doc_id) AS doc_id, coalesce(c.heading, i.heading) AS heading, CASE WHEN c.doc_id IS NULL THEN 'added' WHEN i.doc_id IS NULL THEN 'removed' WHEN c.content = i.content THEN 'unchanged' ELSE 'changed' END AS status, c.content AS current, i.content AS incoming FROM c FULL JOIN i ON c.doc_id = i.doc_id AND c.key = i.key")
+def section_diff_whole(spark, sf):
+    """All sections of every document against a copy in which some are edited and some renamed."""
+    found = sections.split_sections(views.md_docs(spark, sf)).select("doc_id", "order_index", "heading", "content")
+    turn = (F.col("doc_id") + F.col("order_index")) % 7
+    edited = found.withColumns({"heading": F.concat("heading", F.when(turn == 1, " (renamed)").otherwise("")), "content": F.concat("content", F.when(turn == 0, " (edited)").otherwise(""))})
+    return editing.diff(found, edited)
+
+
 @query("WITH live AS (SELECT DISTINCT sha256(text) AS object_key FROM documents WHERE n_chars % 5 <> 0), stored AS (SELECT DISTINCT sha256(text) AS object_key FROM documents WHERE n_chars % 7 <> 0) SELECT object_key, 'orphan' AS state FROM stored WHERE object_key NOT IN (SELECT object_key FROM live) UNION ALL SELECT object_key, 'missing' FROM live WHERE object_key NOT IN (SELECT object_key FROM stored)")
 def gc_orphans(spark, sf):
     keys = lambda k: docs(spark, sf).where(F.col("n_chars") % k != 0).select(F.sha2("text", 256).alias("object_key"))
