@@ -36,7 +36,7 @@ def assemble(pages: DataFrame, settings: Settings = DEFAULT, mask_secrets: bool
     if mask_secrets:
         md = md.withColumn("md", t.redact(F.col("md")))
     whole = verify.report(F.col("source"), F.col("md"), settings.faithfulness_min, settings.target_language)["score"]
-    languages = t.languages(F.left(F.col("md"), F.lit(settings.language_sample_chars)))
+    languages = t.languages(F.col("md"))
     return md.select("doc_id", "source", "md", F.least("worst", whole).alias("faithfulness"), F.coalesce(F.get(languages, 0), t.guess_language(F.col("md"))).alias("language"), F.sha2("md", 256).alias("content_hash"), F.lit(settings.pipeline_version).alias("pipeline_version"))
 
 
