@@ -210,7 +210,7 @@ def language_codes(spark, sf):
 
 @query()
 def slugs(spark, sf):
-    return docs(spark, sf).select("doc_id", t.slugify(F.left("text", F.lit(200))).alias("slug"), t.folder_label(F.left("text", F.lit(30))).alias("label"))
+    return docs(spark, sf).select("doc_id", t.slugify(F.col("text")).alias("slug"), t.folder_label(F.col("text")).alias("label"))
 
 
 @query()

@@ -18,3 +18,8 @@ def test_language_of_a_long_page_is_that_of_all_of_it(spark):
     page = "der die " + "zzz " * 1500 + "the and of to in is for with that this"
     pages = spark.createDataFrame([(1, "a", 1, page)], "doc_id bigint, filename string, page_number int, text string")
     assert ingest.ingest(pages)["documents"].first().language == "en"
+
+
+def test_labels_of_whole_texts(spark, small):
+    rows = catalog.QUERIES["slugs"](spark, small).collect()
+    assert all(r.label == r.slug.replace("-", "_") for r in rows) and any(len(r.label) > 30 for r in rows)
