@@ -39,7 +39,7 @@ RULES = (
 _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_URL = r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+_URL = r"(?is)\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def _rest(url: Column) -> Column:
@@ -72,11 +72,12 @@ def _absolute(target: Column, url: Column) -> Column:
 
 
 def alias_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """src, dst: the canonical link and the redirect that a page names."""
+    """src, dst: the canonical links and the redirects that a page names."""
     u, h = F.col(url), F.col(html)
+    named_by = lambda tag, part: F.transform(F.regexp_extract_all(h, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, part, 1))
     named = pages.where(h.isNotNull() & (F.instr(u, "://") > 0)).select(
         u.alias("src"),
-        F.explode(F.array(F.regexp_extract(F.regexp_extract(h, _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(h, _META, 0), _URL, 1))).alias("target"),
+        F.explode(F.concat(named_by(_LINK, _HREF), named_by(_META, _URL))).alias("target"),
     )
     target = F.replace(F.col("target"), F.lit("&amp;"), F.lit("&"))
     return named.where("target <> ''").select("src", _absolute(target, F.col("src")).alias("dst"))

@@ -102,3 +102,10 @@ def test_pages(spark):
     verdicts = urlfilter.digest(pages).collect()
     assert len(verdicts) == 6 and {r.verdict for r in verdicts if r.host == "a.com"} == {"block"}
     assert warc.digest(pages.limit(0)).collect() == [] and urlfilter.digest(pages.limit(0)).collect() == []
+
+
+def test_repeated_and_quoted_aliases(spark):
+    html = """<link rel="canonical"><link rel="canonical" href="http://c.org/1"><link rel="canonical" href="http://c.org/2">
+    <meta http-equiv="refresh" content="0; url='http://a.org/b'"><meta http-equiv=refresh content="5; URL=http://a.org/c">"""
+    edges = urlfilter.alias_edges(spark.createDataFrame([("http://x.org/", html)], "url string, html string")).collect()
+    assert {r.dst for r in edges} == {"http://c.org/1", "http://c.org/2", "http://a.org/b", "http://a.org/c"}
