@@ -10,7 +10,8 @@ gives an empty result; other columns are ignored by ``near_duplicates`` and kept
 
 How links are found at scale. Only distinct fingerprints are compared. Two of them with at most
 ``errors`` differing bits agree on at least ``exact`` of ``errors + exact`` bit blocks, so each goes to
-one bucket for each choice of ``exact`` blocks, and every link lies inside some bucket. A bucket is
+one bucket for each choice of ``exact`` blocks, and every link lies inside some bucket. Buckets of more
+than ``MOST`` fingerprints are dealt anew by further blocks, without loss. A bucket is
 sorted into a binary trie; node pairs go down together and are given up once they differ in more bits
 than allowed or already lie in one class. A bucket gives a spanning forest, never its pairs, and the
 forests meet in distributed connected components.
@@ -18,7 +19,7 @@ forests meet in distributed connected components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +34,8 @@ from .recovery import checkpointed
 from .words import blocks
 
 SHINGLE, ERRORS, EXACT, SEED = 4, 4, 2, 42
+#: Fingerprints that one bucket may hold.
+MOST = 1 << 17
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _PAIRS, _ROWS = 1 << 20, 1 << 18
 
@@ -53,9 +56,10 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE, seed: int = SEED) ->
         yield np.array([digest(b" ".join(kept), seed)], np.uint64)
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The number whose bits are those set in more than half of all hashes; 0 without hashes."""
     total, ones = 0, np.zeros(64, np.int64)
-    for hashes in shingle_hashes(text, size, seed):
+    for hashes in parts:
         for at in range(0, len(hashes), 1 << 14):
             part = hashes[at : at + (1 << 14)].astype("<u8")
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -63,6 +67,10 @@ def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> in
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, size, seed))
+
+
 def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
@@ -81,16 +89,46 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return map_rows(picked, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, row_key bigint, fp bigint", start)
 
 
-def bucket_keys(fp: Column, errors: int, exact: int) -> Column:
-    """One key for each choice of ``exact`` out of ``errors + exact`` blocks of bits."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def block_masks(errors: int, exact: int) -> list[int]:
+    """The bits of each choice of ``exact`` out of ``errors + exact`` blocks."""
     parts = errors + exact
     cuts = [64 * i // parts for i in range(parts + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
-    keys = []
-    for k, chosen in enumerate(combinations(range(parts), exact)):
-        mask = sum(masks[i] for i in chosen)
-        keys.append(F.struct(F.lit(k).alias("choice"), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")).alias("bits")))
-    return F.array(*keys)
+    return [sum(((1 << b) - 1) ^ ((1 << a) - 1) for a, b in chosen) for chosen in combinations(list(zip(cuts, cuts[1:])), exact)]
+
+
+def narrower(mask: int, errors: int) -> list[int]:
+    """The mask with each of ``errors + 1`` blocks of its other bits: two numbers that agree on it and differ in at most
+    ``errors`` bits agree on one of these too."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    cuts = [len(free) * i // (errors + 1) for i in range(errors + 2)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def buckets(distinct: DataFrame, errors: int, exact: int, most: int) -> DataFrame:
+    """fp, choice, bits: every link lies inside some bucket (choice, bits), and no bucket is larger than ``most``.
+
+    Larger ones, which fingerprints with many common bits make, are dealt anew by one more block of their
+    other bits, as often as needed; nothing is dropped.
+    """
+    masks, at = block_masks(errors, exact), 0
+    key = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("bits")) for k, m in enumerate(masks)]))
+    open_, settled = distinct.select("fp", key.alias("key")).select("fp", "key.choice", "key.bits"), None
+    while True:
+        crowded = checkpointed(open_.groupBy("choice", "bits").agg(F.count("*").alias("many")).where(F.col("many") > most).select("choice", "bits"))
+        if crowded.isEmpty():
+            return open_ if settled is None else settled.unionByName(open_)
+        calm = open_.join(crowded, ["choice", "bits"], "left_anti").select("fp", "choice", "bits")
+        settled = calm if settled is None else settled.unionByName(calm)
+        finer = [narrower(m, errors) for m in masks[at:]]
+        sub = F.element_at(F.array(*[F.array(*[F.lit(_signed(m)).cast("bigint") for m in x]) for x in finer]), F.col("choice") - F.lit(at - 1))
+        hot = open_.join(crowded, ["choice", "bits"], "left_semi").select("fp", "choice", F.posexplode(sub).alias("j", "mask"))
+        at, old = len(masks), at
+        masks += [m for x in finer for m in x]
+        open_ = checkpointed(hot.select("fp", ((F.col("choice") - old) * (errors + 1) + F.col("j") + at).alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("bits")))
 
 
 class Forest:
@@ -176,13 +214,14 @@ def trie_links(bucket: np.ndarray, fp: np.ndarray, errors: int) -> np.ndarray:
     return forest.root
 
 
-def links(distinct: DataFrame, *, errors: int = ERRORS, exact: int = EXACT) -> DataFrame:
+def links(distinct: DataFrame, *, errors: int = ERRORS, exact: int = EXACT, most: int = MOST) -> DataFrame:
     """src, dst: a spanning forest of each bucket's links between the fingerprints ``fp``."""
-    keyed = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), errors, exact)).alias("key")).select("fp", F.xxhash64("key.choice", "key.bits").alias("bucket"), "key.choice", "key.bits")
+    keyed = buckets(distinct, errors, exact, most).select("fp", F.xxhash64("choice", "bits").alias("bucket"), "choice", "bits")
     dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "choice", "bits", "fp").select("fp", "bucket", "choice", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64)] * 4
+        kept: list[list[np.ndarray]] = []
+        rows = 0
 
         def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
             fp = columns[0].view(np.uint64)
@@ -194,26 +233,36 @@ def links(distinct: DataFrame, *, errors: int = ERRORS, exact: int = EXACT) -> D
             at = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(fp[root[at]].view(np.int64))], names=["src", "dst"])
 
+        def whole() -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*kept)] if kept else [np.empty(0, np.int64)] * 4
+
         for batch in batches:
-            kept = [np.concatenate((k, batch[name].to_numpy(zero_copy_only=False).astype(np.int64))) for k, name in zip(kept, ("fp", "bucket", "choice", "bits"))]
-            if len(kept[0]) >= _ROWS:  # the last bucket may go on
-                last = np.all([x == x[-1] for x in kept[1:]], axis=0)
+            kept.append([batch[name].to_numpy(zero_copy_only=False).astype(np.int64) for name in ("fp", "bucket", "choice", "bits")])
+            rows += batch.num_rows
+            if rows >= _ROWS:  # the last bucket, of at most ``most`` rows, may go on
+                columns = whole()
+                last = np.all([x == x[-1] for x in columns[1:]], axis=0)
                 cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
                 if cut:
-                    yield solve([x[:cut] for x in kept])
-                    kept = [x[cut:] for x in kept]
-        yield solve(kept)
+                    yield solve([x[:cut] for x in columns])
+                kept, rows = [[x[cut:] for x in columns]], len(last) - cut
+        yield solve(whole())
 
     return dealt.mapInArrow(run, "src bigint, dst bigint")
 
 
-def classes_of(prints: DataFrame, *, errors: int = ERRORS, exact: int = EXACT) -> DataFrame:
-    """fp, class, component_id for each distinct fingerprint of ``prints`` (doc_id, fp), which is read more than once."""
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = connected_components(links(firsts.select("fp"), errors=errors, exact=exact))
-    linked = firsts.join(found, firsts["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
-    named = linked.groupBy("class").agg(F.min("first_id").alias("component_id"))
-    return linked.select("fp", "class").join(named, "class").select("fp", "class", "component_id")
+def classes_of(prints: DataFrame, *, errors: int = ERRORS, exact: int = EXACT, most: int = MOST) -> DataFrame:
+    """fp, class, component_id for each distinct fingerprint of ``prints`` (doc_id, fp), which is read more than once.
+
+    Nodes are ordered by their least id, nulls last, so a component's least node already carries its
+    least id, and no class meets in one task to be told it.
+    """
+    firsts = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).select("fp", F.struct(F.col("id").isNull().alias("last"), "id", "fp").alias("at")))
+    forest = links(firsts.select("fp"), errors=errors, exact=exact, most=most)
+    ends = forest.join(firsts.select(F.col("fp").alias("src"), F.col("at").alias("a")), "src").join(firsts.select(F.col("fp").alias("dst"), F.col("at").alias("b")), "dst")
+    found = connected_components(ends, "a", "b").select(F.col("node.fp").alias("fp"), "component")
+    least = F.coalesce("component", "at")
+    return firsts.join(found, "fp", "left").select("fp", least["fp"].alias("class"), least["id"].alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, errors: int = ERRORS, exact: int = EXACT, seed: int = SEED) -> DataFrame:

@@ -54,3 +54,35 @@ def test_near_copies_of_likeness_from_08_on(spark):
 
 def test_no_rows(spark):
     assert likeness.keep_one(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_crowded_buckets_are_dealt_anew_without_loss(spark):
+    from heronkb.llm import components, simhash
+
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = {base}
+    while len(fps) < 400:  # most bits in common, so that a few buckets hold nearly all
+        x = base
+        for _ in range(rng.randrange(1, 14)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
+    fps = sorted(fps)
+    up = {x: x for x in fps}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in combinations(fps, 2):
+        if (a ^ b).bit_count() <= 4:
+            up[root(a)] = root(b)
+    signed = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp bigint")
+    got = {}
+    for r in components.connected_components(simhash.links(signed, most=20), "src", "dst").collect():
+        got.setdefault(r.component, set()).add(r.node % (1 << 64))
+    want = {}
+    for x in fps:
+        want.setdefault(root(x), set()).add(x)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
