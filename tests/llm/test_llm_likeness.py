@@ -80,7 +80,7 @@ def test_crowded_buckets_are_dealt_anew_without_loss(spark):
             up[root(a)] = root(b)
     signed = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp bigint")
     got = {}
-    for r in components.connected_components(simhash.links(signed, most=20), "src", "dst").collect():
+    for r in components.connected_components(simhash.links(signed, most=150), "src", "dst").collect():
         got.setdefault(r.component, set()).add(r.node % (1 << 64))
     want = {}
     for x in fps:
