@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recovery import checkpointed
+from .recovery import checkpointed, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -29,5 +29,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         near = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(near, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").unionByName(near.select("hi", F.col("m").alias("lo"))).distinct()
         now = checkpointed(small)
+        del both, least, large, near, small
+        release(now.sparkSession)
     # At the end all edges go from a node to the least one of its component.
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

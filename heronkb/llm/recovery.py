@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; in local mode only, where it is unset, a temporary one."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not named and context.master.partition("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='heronkb-')}")
-    return context.getCheckpointDir()
+from ..session import shared_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written once; later stages read the files and never run the plan above again."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    Spark does so when the driver's memory is next collected, which may be long after an iterative
+    operator has filled the disks with what its earlier steps left.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
