@@ -10,8 +10,10 @@ name respectively (windows of a null id still hit); repeated items and rows are
 an empty benchmark or table gives no hits or no rows; other columns of the inputs are ignored by
 ``scan`` and kept by ``drop_contaminated`` and ``cut_spans``.
 
-Scale: the benchmark is broadcast in blocks of at most ``block_bytes`` of item text (measured first);
-documents are read once for each block, which is once for any usual benchmark. Documents never move.
+Scale: the benchmark is broadcast in blocks of at most ``block_bytes`` of item text (measured first). A
+block is sorted arrays, 20 bytes for each window, beside the joined words of its items. Documents are
+read once for each block, which is once for any usual benchmark, and never move. All findings are made
+on the original text, so results don't depend on the number of blocks.
 """
 
 from __future__ import annotations
@@ -32,30 +34,53 @@ _FILTER_BITS = 22
 
 
 class Windows:
-    """Hash set of the windows of some items, by window length, with the exact words behind each hash."""
+    """The windows of some items by length: sorted hashes, and for each its place in the joined words and its item."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], n: int) -> None:
         powers = Powers()
-        self.n, self.names, self.owners = n, [k for k, _ in items], defaultdict(set)
-        hashes: dict[int, set[int]] = defaultdict(set)
+        self.n, self.names = n, [k for k, _ in items]
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        joined, at = [], 0
         for i, (_, text) in enumerate(items):
             words = (text or b"").translate(ALNUM).split()
             if words:
                 size = min(n, len(words))
                 hashed = Hashed(words, powers)
-                hashes[size].update(hashed.runs(size).tolist())
-                for j in range(len(words) - size + 1):
-                    self.owners[hashed.run(j, size)].add(i)
-        self.owners = dict(self.owners)
-        self.sorted = {size: np.array(sorted(x), np.uint64) for size, x in hashes.items()}
+                starts, ends = hashed.starts[: len(words) - size + 1], hashed.ends[size - 1 :]
+                parts[size].append((hashed.runs(size), (starts + at).astype(np.uint32), (ends - starts).astype(np.uint32), np.full(len(starts), i, np.int32)))
+                joined.append(hashed.joined)
+                at += len(hashed.joined)
+        self.joined = b"".join(joined)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in sorted(parts):
+            columns = [np.concatenate(x) for x in zip(*parts.pop(size))]
+            order = np.argsort(columns[0], kind="stable")
+            self.tables[size] = tuple(x[order] for x in columns)
 
     def filters(self) -> dict[int, np.ndarray]:
         out = {}
-        for size, x in self.sorted.items():
+        for size, (hashes, *_) in self.tables.items():
             out[size] = np.zeros(1 << _FILTER_BITS, bool)
-            out[size][x >> np.uint64(64 - _FILTER_BITS)] = True
+            out[size][hashes >> np.uint64(64 - _FILTER_BITS)] = True
         return out
 
+    def owners(self, size: int, h: np.uint64, run: bytes) -> list[int]:
+        """Items that have a window of exactly these words."""
+        hashes, starts, lengths, items = self.tables[size]
+        lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        return [int(items[e]) for e in range(lo, hi) if self.joined[starts[e] : int(starts[e]) + int(lengths[e])] == run]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
 
 class Scanner:
     def __init__(self, windows: Windows) -> None:
@@ -72,23 +97,17 @@ class Scanner:
             if not words:
                 continue
             hashed = Hashed(words, self.powers)
-            for size, table in self.w.sorted.items():
+            for size, (table, *_) in self.w.tables.items():
                 h = hashed.runs(size)
                 at = np.flatnonzero(self.maybe[size][h >> np.uint64(64 - _FILTER_BITS)])
                 if len(at):
                     place = np.searchsorted(table, h[at])
                     at = at[table[np.minimum(place, len(table) - 1)] == h[at]]
                 for i in at.tolist():
-                    if owners := self.w.owners.get(hashed.run(i, size)):
-                        items |= owners
+                    if owners := self.w.owners(size, h[i], hashed.run(i, size)):
+                        items.update(owners)
                         found.append((base + i, base + i + size))
-        spans: list[tuple[int, int]] = []
-        for a, b in sorted(set(found)):
-            if spans and a <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-            else:
-                spans.append((a, b))
-        return total, spans, items
+        return total, merged(found), items
 
 
 def item_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
@@ -139,14 +158,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, doc_id: str = "d
     every = stage(makers[0], keyed)
     for make in makers[1:]:
         every = every.unionByName(stage(make, keyed))
-    merged = every.groupBy("doc_id", "twin").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    joined = F.aggregate(
-        "all_spans",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(x["end"], F.element_at(acc, -1)["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
+    met = every.groupBy("doc_id", "twin").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     keys = keyed.select(F.col("doc_id").alias("left_id"), F.col("twin").alias("left_twin"))
-    return keys.join(merged, F.col("left_id").eqNullSafe(F.col("doc_id")) & (F.col("left_twin") == F.col("twin"))).select("doc_id", "n_words", joined.alias("spans"), "items")
+    whole = keys.join(met, F.col("left_id").eqNullSafe(F.col("doc_id")) & (F.col("left_twin") == F.col("twin"))).select("doc_id", "n_words", "spans", "items")
+
+    def join() -> Callable[[pa.RecordBatch], dict]:
+        def each(batch: pa.RecordBatch) -> dict:
+            spans = [[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in row])] for row in batch["spans"].to_pylist()]
+            return {"doc_id": batch["doc_id"], "n_words": batch["n_words"], "spans": spans, "items": batch["items"]}
+
+        return each
+
+    return map_rows(whole, shape.replace("twin bigint, ", ""), join)
 
 
 def hit_words(spans: str = "spans"):
@@ -185,22 +208,34 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, tex
 def cut_spans(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All documents and columns, with every occurrence of a window cut out of the text.
 
-    Blocks of a large benchmark are cut one after the other, each from what the others left.
+    All spans are found on the original text, block after block of a large benchmark, and cut at once.
     """
-    for make in _scanners(docs.sparkSession, benchmark, n, item_id, item_text, block_bytes):
-
-        def start(make=make):
+    makers = _scanners(docs.sparkSession, benchmark, n, item_id, item_text, block_bytes)
+    columns, carried = docs.columns, "spans"
+    while carried in columns:
+        carried += "_"
+    if len(makers) > 1:
+        docs = docs.withColumn(carried, F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    for k, make in enumerate(makers):
+
+        def start(make=make, last=k == len(makers) - 1):
             scanner = make()
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                cuts = [x if x is None or not (s := scanner.scan(x)[1]) else cut(x, s) for x in as_bytes(batch[text])]
-                place = batch.schema.get_field_index(text)
-                return batch.set_column(place, batch.schema.field(place), pa.array(cuts, pa.binary()).cast(batch.schema.field(place).type))
+                texts = as_bytes(batch[text])
+                before = batch[carried].to_pylist() if len(makers) > 1 else [[]] * len(texts)
+                spans = [merged([(s["start"], s["end"]) for s in old] + scanner.scan(x)[1]) for x, old in zip(texts, before)]
+                if last:
+                    name, values = text, pa.array([x if x is None or not s else cut(x, s) for x, s in zip(texts, spans)], pa.binary())
+                else:
+                    name, values = carried, pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], batch[carried].type)
+                place = batch.schema.get_field_index(name)
+                return batch.set_column(place, batch.schema.field(place), values.cast(batch.schema.field(place).type))
 
             return each
 
         docs = pass_rows(docs, start)
-    return docs
+    return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -51,14 +51,20 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(_t(spark, sf_dir, "documents"))
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's operator over pages that name aliases, which the pages of the table hardly do."""
+    return urlfilter.alias_digest(_t(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_order_minhash, op3_simhash, op4_toxicity, op5_pii, op6_warc, op7_licenses, op8_ring, op9_url_filter, op10_pack)
+    for f in (op1_decontaminate, op2_order_minhash, op3_simhash, op4_toxicity, op5_pii, op6_warc, op7_licenses, op8_ring, op9_url_filter, op10_pack, url_aliases)
 }
 #: The others are tested against brute force in tests/llm: SQL has no XXH64, sequential packing, positions of
 #: matches or learned weights.
 SQL = {
     "op1_decontaminate": decontam.SQL,
     "op6_warc": warc.SQL,
-    "op9_url_filter": urlfilter.SQL,
+    "op9_url_filter": urlfilter.sql(),
+    "url_aliases": urlfilter.sql(urlfilter.ALIAS_PAGES),
 }

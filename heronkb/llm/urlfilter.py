@@ -3,10 +3,10 @@
 The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path
 follows up to ``?``, ``#`` or the end; without ``://`` both are empty. A rule fits its host and all
 subdomains if the path starts with the rule's path, and the longest fitting rule decides. Pages without
-a rule get the decision of their aliases: URLs are joined in classes by canonical links, by redirects
-(meta refresh) and by spelling (scheme, ``www.`` or ``m.``, fragment, tracking parameters, trailing slash).
-In a class with a blocked member the others are blocked, unless a member is allowed by a rule; an own
-rule always stands.
+a rule get the decision of their aliases: URLs are joined in classes by canonical links and by redirects
+(meta refresh), targets that were never crawled included, whose own rules count too, and with ``spellings`` (the default) by usual respellings (scheme, ``www.`` or
+``m.``, fragment, tracking parameters, trailing slash). In a class with a blocked member the others are
+blocked, unless a member is allowed by a rule; an own rule always stands.
 
 Edge cases: a null URL, or one without ``://``, fits no rule, joins no class and is allowed; null html
 has no links; repeated rows and ids stay; empty tables give no rows; other columns are ignored.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules are sent to all tasks up to this number, and joined by shuffle beyond.
-BROADCAST_RULES = 100_000
+#: Rules are sent to all tasks up to so many bytes, and joined by shuffle beyond.
+BROADCAST_BYTES = 16 << 20
 
 #: The contract's rules: verdict, host, path.
 RULES = (
@@ -86,7 +86,7 @@ def alias_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Da
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url, host, path with the longest fitting rule and its verdict, else null. ``urls`` holds distinct URLs."""
     sizes = [r.n for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]  # lengths, not rules
-    many = rules.limit(BROADCAST_RULES + 1).count() > BROADCAST_RULES
+    many = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0] > BROADCAST_BYTES
     keyed = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.min("verdict").alias("verdict"))  # of equal rules, allow
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -98,15 +98,16 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best.select(F.col("url").alias("ruled"), "best.rule", F.col("best.verdict").alias("ruling")), F.col("url") == F.col("ruled"), "left").drop("ruled")
 
 
-def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, *, page_id: str = "page_id", url: str = "url", html: str = "html", spellings: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict: one row for each page row. ``edges`` (src, dst) add to those in the html."""
+    spelt = spelling if spellings else lambda x: x
     rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"))
     links = alias_edges(pages, url=url, html=html)
     if edges is not None:
         links = links.unionByName(edges.select("src", "dst"))
-    classes = connected_components(links.select(spelling(F.col("src")).alias("src"), spelling(F.col("dst")).alias("dst")))
-    urls = rows.select("url").distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    ruled = match_rules(urls, rules).withColumn("spelt", spelling(F.col("url")))
+    classes = connected_components(links.select(spelt(F.col("src")).alias("src"), spelt(F.col("dst")).alias("dst")))
+    urls = rows.select("url").unionByName(links.select(F.col("dst").alias("url"))).distinct().withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    ruled = match_rules(urls, rules).withColumn("spelt", spelt(F.col("url")))
     known = ruled.join(classes, F.col("spelt") == F.col("node"), "left").withColumn("class", F.coalesce("component", "spelt"))
     spread = known.where("ruling is not null").groupBy("class").agg((F.max(F.col("ruling") == "block") & ~F.max(F.col("ruling") == "allow")).alias("blocked")).where("blocked").select(F.col("class").alias("blocked"))
     decided = known.join(spread, F.col("class") == F.col("blocked"), "left").select("url", "host", "path", "rule", F.coalesce("ruling", F.when(F.col("blocked").isNotNull(), "block").otherwise("allow")).alias("verdict"))
@@ -119,21 +120,64 @@ def digest(pages: DataFrame) -> DataFrame:
     return judge(pages, rules)
 
 
-#: The same by SQL, with a recursive reach over aliases. For small tables.
-SQL = r"""
+def with_aliases(pages: DataFrame) -> DataFrame:
+    """The pages, of which most also name another: by a canonical link, an absolute or relative redirect, or one never crawled.
+
+    For the query that shows decisions which only aliases make; ``ALIAS_PAGES`` is the same in SQL.
+    """
+    to = lambda k: F.concat(F.lit("http://mirror"), (F.col("page_id") % k).cast("string"), F.lit(".example.org/es/"), (F.col("page_id") / 5).cast("bigint").cast("string"))
+    kind = F.col("page_id") % 6
+    tag = (
+        F.when(kind == 0, F.concat(F.lit("<link rel='canonical' href='"), to(3), F.lit("'>")))
+        .when(kind == 1, F.concat(F.lit('<META http-equiv="refresh" content="0; url=\''), to(3), F.lit("'\">")))
+        .when(kind == 2, F.concat(F.lit('<link href="/moved/'), (F.col("page_id") / 6).cast("bigint").cast("string"), F.lit('" rel="canonical"><link rel=canonical href=next>')))
+        .when(kind == 3, F.concat(F.lit("<meta http-equiv=refresh content='5;url=//alias.example.com/en/"), (F.col("page_id") % 9).cast("string"), F.lit("?a=1&amp;b=2'>")))
+        .when(kind == 4, F.lit("<link rel='stylesheet' href='http://mirror1.example.org/es/1'>"))
+        .otherwise(F.lit(""))
+    )
+    return pages.withColumn("html", F.concat(F.coalesce(F.col("html"), F.lit("")), tag))
+
+
+def alias_digest(pages: DataFrame) -> DataFrame:
+    """``digest`` over pages that name each other."""
+    return digest(with_aliases(pages))
+
+
+ALIAS_PAGES = r"""(SELECT page_id, url, coalesce(html, '') || CASE page_id % 6
+  WHEN 0 THEN '<link rel=''canonical'' href=''http://mirror' || (page_id % 3) || '.example.org/es/' || (page_id // 5) || '''>'
+  WHEN 1 THEN '<META http-equiv="refresh" content="0; url=''http://mirror' || (page_id % 3) || '.example.org/es/' || (page_id // 5) || '''">'
+  WHEN 2 THEN '<link href="/moved/' || (page_id // 6) || '" rel="canonical"><link rel=canonical href=next>'
+  WHEN 3 THEN '<meta http-equiv=refresh content=''5;url=//alias.example.com/en/' || (page_id % 9) || '?a=1&amp;b=2''>'
+  WHEN 4 THEN '<link rel=''stylesheet'' href=''http://mirror1.example.org/es/1''>'
+  ELSE '' END AS html FROM pages)"""
+
+
+def sql(pages: str = "pages") -> str:
+    """The same by SQL, with a recursive reach over aliases. For small tables."""
+    quoted = lambda x: x.replace("'", "''")
+    return rf"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-p AS (SELECT page_id, coalesce(url, '') AS url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-q AS (SELECT page_id, url, html, rest, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM p),
-fits AS (SELECT DISTINCT q.url, r.host || r.path AS rule, r.verdict, length(r.host || r.path) AS n FROM q JOIN rules r ON (q.host = r.host OR ends_with(q.host, '.' || r.host)) AND starts_with(q.path, r.path)),
+p AS (SELECT page_id, coalesce(url, '') AS url, html FROM {pages}),
+rests AS (SELECT DISTINCT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM p),
+sites AS (SELECT url, regexp_extract(rest, '^[^/?#]*', 0) AS site, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM rests),
+q AS (SELECT page_id, url, html, site, path FROM p JOIN sites USING (url)),
+named AS (SELECT url, substr(url, 1, strpos(url, '://') - 1) AS scheme, site, regexp_replace(path, '[^/]*$', '') AS folder, replace(unnest(list_concat(
+    list_transform(regexp_extract_all(html, '{quoted(_LINK)}'), lambda x: regexp_extract(x, '{quoted(_HREF)}', 1)),
+    list_transform(regexp_extract_all(html, '{quoted(_META)}'), lambda x: regexp_extract(x, '{quoted(_URL)}', 1)))), '&amp;', '&') AS t FROM q WHERE html IS NOT NULL AND strpos(url, '://') > 0),
+links AS (SELECT url AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || site || t
+            ELSE scheme || '://' || site || CASE WHEN folder = '' THEN '/' ELSE folder END || t END AS b FROM named WHERE t <> ''),
+seen AS (SELECT b AS url FROM links UNION SELECT url FROM q),
+parts AS (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM seen),
+u AS (SELECT url, rest, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM parts),
+spelt AS (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '')
+            || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|fbclid|gclid)(=|$)')), '&'), ''), '') ELSE url END AS s FROM u),
+fits AS (SELECT u.url, r.host || r.path AS rule, r.verdict, length(r.host || r.path) AS n FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)),
 best AS (SELECT url, max_by(rule, n) AS rule, max_by(verdict, n) AS ruling FROM fits GROUP BY url),
-spelt AS (SELECT DISTINCT q.url, CASE WHEN strpos(q.url, '://') > 0 THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '')
-            || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_\w+|fbclid|gclid)(=|$)')), '&'), ''), '') ELSE q.url END AS s FROM q),
-e AS (SELECT s.s AS a, replace(regexp_extract(regexp_extract(q.html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') AS t FROM q JOIN spelt s USING (url)),
-links AS (SELECT e.a, s.s AS b FROM e JOIN spelt s ON s.url = e.t WHERE e.t <> ''),
-both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ends_ AS (SELECT x.s AS a, y.s AS b FROM links JOIN spelt x ON x.url = links.a JOIN spelt y ON y.url = links.b),
+both_ways AS (SELECT a, b FROM ends_ UNION SELECT b, a FROM ends_),
 reach(a, b) AS (SELECT DISTINCT s, s FROM spelt UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b),
-class_of AS (SELECT a AS s, min(b) AS class FROM reach GROUP BY a),
-flags AS (SELECT class, bool_or(ruling = 'block') AND NOT bool_or(ruling = 'allow') AS blocked FROM best JOIN spelt USING (url) JOIN class_of USING (s) GROUP BY class)
-SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
-FROM q JOIN spelt USING (url) JOIN class_of USING (s) LEFT JOIN best USING (url) LEFT JOIN flags USING (class)
+class_of AS (SELECT spelt.url, c.class FROM spelt JOIN (SELECT a, min(b) AS class FROM reach GROUP BY a) c ON c.a = spelt.s),
+flags AS (SELECT class, bool_or(ruling = 'block') AND NOT bool_or(ruling = 'allow') AS blocked FROM best JOIN class_of USING (url) GROUP BY class)
+SELECT page_id, u.host, u.path, rule, coalesce(ruling, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM q JOIN u USING (url) JOIN class_of USING (url) LEFT JOIN best USING (url) LEFT JOIN flags USING (class)
 """
