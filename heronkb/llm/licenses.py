@@ -2,10 +2,11 @@
 
 A-Z are lower-cased, words are maximal runs of ASCII letters, digits and code points from U+0080 on, and
 rules match the words joined by single spaces, so punctuation, case and line breaks don't matter. The
-rules are those of each family of licenses times the ways of naming one: an SPDX tag, a grant
-("licensed under ..."), a name with a version, and a bare name. A rule runs only if its family's keyword
-occurs. Of overlapping detections the higher priority comes first, then the longer, then the earlier
-rule; one that lies inside a kept detection is dropped. Four base phrases are counted at every place
+rules (``license_rules``) are written by hand: wording of the licenses, machine-readable identifiers,
+grants, full names, and short names, which count only near a word for license; and denials ("not licensed
+under ..."), which give no label. A rule runs only if its keyword occurs. Of overlapping detections the
+higher priority comes first, then the longer, then the earlier rule; one that lies inside a kept
+detection is dropped, so a denial silences the names in it. Four base phrases are counted at every place
 they occur and their labels always stay.
 
 Edge cases: a null text counts as empty and has no words, labels or detections (score 0); rows with null
@@ -15,6 +16,7 @@ or repeated ids are judged each on its own; an empty table gives no rows; other
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import as_bytes, map_rows
+from .license_rules import RULES
 from .words import ALNUM
 
 #: Base phrases and their labels.
@@ -33,82 +36,10 @@ BASE = {
     b"mit license": "mit",
 }
 
-#: label stem, keyword, regex of the name as words, regex of known versions (empty: none).
-FAMILIES = (
-    ("agpl", "affero", r"(?:gnu )?affero (?:general public license|gpl)", r"[13](?: 0)?"),
-    ("agpl", "agpl", r"agpl", r"[13](?: 0)?"),
-    ("lgpl", "lesser general", r"(?:gnu )?lesser general public license", r"2 1|3(?: 0)?"),
-    ("lgpl", "library general", r"(?:gnu )?library general public license", r"2(?: 0)?"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl", r"2(?: [01])?|3(?: 0)?"),
-    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", r"[123](?: 0)?"),
-    ("gpl", "gpl", r"(?:gnu )?gpl", r"[123](?: 0)?"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation license", r"1 [123]"),
-    ("apache", "apache", r"apache(?: software)?", r"1 [01]|2(?: 0)?"),
-    ("mit", "mit", r"mit|expat|mit x11", r""),
-    ("bsd", "bsd", r"(?:new |modified |simplified |revised |original )?bsd", r"[0234] clause"),
-    ("isc", "isc", r"isc", r""),
-    ("mpl", "mozilla", r"mozilla public", r"1 [01]|2(?: 0)?"),
-    ("mpl", "mpl", r"mpl", r"1 [01]|2(?: 0)?"),
-    ("epl", "eclipse", r"eclipse public", r"[12](?: 0)?"),
-    ("edl", "eclipse", r"eclipse distribution", r"1(?: 0)?"),
-    ("cddl", "common development", r"common development and distribution", r"1 [01]"),
-    ("cddl", "cddl", r"cddl", r"1 [01]"),
-    ("cpl", "common public", r"common public", r"1(?: 0)?"),
-    ("eupl", "european union", r"european union public", r"1 [012]"),
-    ("eupl", "eupl", r"eupl", r"1 [012]"),
-    ("cecill", "cecill", r"cecill", r"1 [01]|2(?: [01])?"),
-    ("artistic", "artistic", r"(?:perl )?artistic", r"[12](?: 0)?"),
-    ("zlib", "zlib", r"zlib(?: libpng)?", r""),
-    ("bsl", "boost", r"boost software", r"1(?: 0)?"),
-    ("unlicense", "unlicense", r"unlicense", r""),
-    ("wtfpl", "wtfpl", r"wtfpl", r"2(?: 0)?"),
-    ("ms-pl", "microsoft public", r"microsoft public", r""),
-    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal", r""),
-    ("psf", "python software", r"python software foundation", r"2(?: 0)?"),
-    ("php", "php", r"php", r"3(?: 0[01]?)?"),
-    ("ruby", "ruby", r"ruby", r""),
-    ("openssl", "openssl", r"openssl", r""),
-    ("ofl", "open font", r"(?:sil )?open font", r"1 [01]"),
-    ("qpl", "q public", r"q public", r"1(?: 0)?"),
-    ("afl", "academic free", r"academic free", r"[123] [0-2]"),
-    ("osl", "open software", r"open software", r"[123] [0-2]"),
-    ("upl", "universal permissive", r"universal permissive", r"1(?: 0)?"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?", r""),
-    ("postgresql", "postgresql", r"postgresql", r""),
-    ("blueoak", "blue oak", r"blue oak model", r"1(?: 0(?: 0)?)?"),
-    ("mulan", "mulan", r"mulan (?:psl|permissive software)", r"[12]"),
-    ("busl", "business source", r"business source", r"1 [01]"),
-    ("sspl", "server side", r"server side public", r"1"),
-    ("elastic", "elastic", r"elastic", r"2(?: 0)?"),
-    ("odbl", "open database", r"open (?:data commons )?open database|open database", r"1(?: 0)?"),
-    ("odc-by", "open data commons", r"open data commons attribution", r"1(?: 0)?"),
-    ("pddl", "public domain dedication", r"public domain dedication(?: and)?", r"1(?: 0)?"),
-    ("cc0", "cc0", r"cc0", r"1(?: 0)?"),
-    ("cc-by-nc-sa", "by nc sa", r"cc by nc sa", r"[1234](?: [05])?"),
-    ("cc-by-nc-nd", "by nc nd", r"cc by nc nd", r"[1234](?: [05])?"),
-    ("cc-by-nc", "by nc", r"cc by nc", r"[1234](?: [05])?"),
-    ("cc-by-nd", "by nd", r"cc by nd", r"[1234](?: [05])?"),
-    ("cc-by-sa", "by sa", r"cc by sa", r"[1234](?: [05])?"),
-    ("cc-by", "cc by", r"cc by", r"[1234](?: [05])?"),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution non ?commercial share ?alike", r"[1234](?: [05])?"),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s", r"[1234](?: [05])?"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution non ?commercial", r"[1234](?: [05])?"),
-    ("cc-by-nd", "creative commons", r"creative commons attribution no ?deriv(?:ative)?s", r"[1234](?: [05])?"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution share ?alike", r"[1234](?: [05])?"),
-    ("cc-by", "creative commons", r"creative commons attribution", r"[1234](?: [05])?"),
-    ("public-domain", "public domain", r"public domain", r""),
-    ("proprietary", "all rights reserved", r"all rights reserved", r""),
-)
-_SELF = {"public-domain", "proprietary", "unlicense", "cc0"}  # the name alone is the statement
-
-#: form, priority, score, regex around NAME and VERSION.
-FORMS = (
-    ("tag", 4, 1.0, r"spdx license identifier NAME(?: VERSION)?(?: only| or later)?"),
-    ("grant", 3, 0.95, r"(?:licen[sc]ed|released|distributed|available|published|provided|redistributed?|used|covered) (?:to you )?(?:under|by|with)(?: the)?(?: terms of)?(?: an?| the)? NAME(?: (?:public )?licen[sc]e)?(?: (?:version )?v?VERSION)?"),
-    ("version", 2, 0.9, r"NAME(?: (?:public )?licen[sc]e)? (?:version )?v?VERSION"),
-    ("name", 1, 0.6, r"NAME (?:public )?licen[sc]e"),
-    ("bare", 1, 0.5, r"NAME"),
-)
+#: Priority and score of each form.
+FORMS = {"denial": (6, 0.0), "body": (5, 0.95), "tag": (4, 1.0), "grant": (3, 0.9), "title": (2, 0.8), "short": (1, 0.5)}
+#: Words on either side in which a short name needs a word for license.
+NEAR = 6
 
 
 class Rule(NamedTuple):
@@ -130,18 +61,10 @@ class Hit(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    out = []
-    for label, keyword, name, version in FAMILIES:
-        for form, priority, score, shape in FORMS:
-            bare = form == "bare"
-            spelt = "licen" in name or " by" in name or keyword in ("gpl", "agpl", "lgpl", "mpl", "eupl", "cddl", "wtfpl")
-            if (form == "version" and not version) or (bare and not (spelt or label in _SELF)) or (form == "name" and (spelt or label in _SELF)):
-                continue
-            shape = shape.replace("VERSION", f"(?P<v>{version})" if version else r"(?P<v>(?!))")
-            out.append(Rule(label, form, priority, score, keyword.encode(), re.compile(f" {shape.replace('NAME', f'(?:{name})')}(?= )".encode())))
-    return out
+    return [Rule(label, form, *FORMS[form], keyword.encode(), re.compile(f" {pattern}(?= )".encode())) for label, form, keyword, pattern in RULES]
 
 
+_LICENSE = re.compile(rb" (?:sub|re)?licen[cs](?:e|es|ed|ing|or|ee)(?= )")
 _BASE = re.compile(b" (" + b"|".join(BASE) + b")(?= )")
 
 
@@ -162,19 +85,36 @@ class Scanner:
         word_at = lambda at: int(np.searchsorted(spaces, at))  # noqa: E731  the word after the space at this offset
         base = [(BASE[m[1]], word_at(m.start())) for m in _BASE.finditer(line)]
         found = []
+        said: np.ndarray | None = None  # places of words for license
         for i, rule in rough:
             for m in rule.pattern.finditer(line):
+                first, end = word_at(m.start()), word_at(m.end())
+                if rule.form == "short":
+                    if said is None:
+                        said = np.array([word_at(x.start()) for x in _LICENSE.finditer(line)], np.int64)
+                    if np.searchsorted(said, first - NEAR) == np.searchsorted(said, end + NEAR):
+                        continue
                 version = (m.groupdict().get("v") or b"").decode().replace(" ", "." if rule.label != "bsd" else "-")
                 label = f"{rule.label}-{version}" if version else rule.label
-                found.append((-rule.priority, word_at(m.start()) - word_at(m.end()), i, Hit(label, rule.form, word_at(m.start()), word_at(m.end()), rule.priority, rule.score)))
-        longest = max((h.end - h.start for *_, h in found), default=0)
-        kept: list[Hit] = []
-        reach: dict[int, int] = {}  # start -> furthest end of a kept detection
-        for *_, hit in sorted(found, key=lambda x: (x[:3], x[3].start)):
-            if all(reach.get(at, 0) < hit.end for at in range(hit.end - longest, hit.start + 1)):
-                kept.append(hit)
-                reach[hit.start] = max(hit.end, reach.get(hit.start, 0))
-        return len(words), base, sorted(kept, key=lambda h: (h.start, h.end))
+                found.append((-rule.priority, first - end, i, Hit(label, rule.form, first, end, rule.priority, rule.score)))
+        return len(words), base, [h for h in resolved(found) if h.form != "denial"]
+
+
+def resolved(found: list[tuple[int, int, int, Hit]]) -> list[Hit]:
+    """By (-priority, -length, rule): detections that don't lie inside one kept before, in order of place."""
+    starts: list[int] = []  # of kept detections, none of which lies inside another, ascending
+    ends: list[int] = []
+    kept: list[Hit] = []
+    for *_, hit in sorted(found, key=lambda x: (x[:3], x[3].start)):
+        at = bisect_right(starts, hit.start)
+        if at and ends[at - 1] >= hit.end:
+            continue
+        kept.append(hit)
+        # What the new one covers can't cover anything it doesn't.
+        last = bisect_right(ends, hit.end)
+        first = bisect_left(starts, hit.start)
+        starts[first:last], ends[first:last] = [hit.start], [hit.end]
+    return sorted(kept, key=lambda h: (h.start, h.end))
 
 
 def detect(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
