@@ -2,8 +2,11 @@
 
 Base kinds are ``email``, ``ip``, ``card`` (13 to 19 digits that pass Luhn) and ``phone`` (9 to 15
 digits), leftmost and non-overlapping within a kind; a proposal that fails its check is dropped and
-nothing inside it is tried again. Base spans always stay. The method adds ``iban`` (mod-97) and ``ssn``
-(number ranges), which stay if their score, moved by the words just before, reaches ``least_score``.
+nothing inside it is tried again. Every span has a score: a start value for its kind, raised by fitting
+and lowered by contrary words within ``CONTEXT`` characters on either side. The method adds ``iban``
+(length of its country, mod-97, either case) and ``ssn`` (number ranges); these stay if their score
+reaches ``least_score``. Base spans stay if theirs reaches ``least_base``, 0 by default, as the contract
+keeps them all.
 
 Offsets are code points, end exclusive. Edge cases: a null text counts as empty and has no spans (and
 stays null when masked); rows with null or repeated ids are judged each on its own; an empty table
@@ -25,7 +28,7 @@ from .arrow import map_rows, pass_rows
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
-LEAST_SCORE, CONTEXT = 0.5, 48
+LEAST_SCORE, LEAST_BASE, CONTEXT = 0.5, 0.0, 48
 
 _DIGIT = re.compile("[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,21 +36,31 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2})[0-9]{2}(?=[ A-Za-z0-9])")
+# Length of an IBAN by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[a-z]+")
 
-#: Start score of each kind, and the context words that raise it.
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
+#: Start score of each kind, and the context words that raise and lower it.
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7, "ssn": 0.4}
 _RAISE = {
-    "email": {"email", "mail", "contact", "write"},
-    "ip": {"ip", "address", "host", "server", "login"},
-    "card": {"card", "visa", "credit", "debit", "payment", "mastercard"},
-    "phone": {"phone", "call", "tel", "mobile", "fax", "contact"},
-    "iban": {"iban", "account", "bank", "transfer"},
+    "email": {"email", "mail", "contact", "write", "address"},
+    "ip": {"ip", "address", "host", "server", "login", "client"},
+    "card": {"card", "visa", "credit", "debit", "payment", "mastercard", "cvv"},
+    "phone": {"phone", "call", "tel", "mobile", "fax", "contact", "whatsapp"},
+    "iban": {"iban", "account", "bank", "transfer", "konto", "bic"},
     "ssn": {"ssn", "social", "security"},
 }
-_LOWER = {"version", "isbn", "section", "part", "serial", "order", "example"}
+_LOWER = {"version", "isbn", "section", "part", "serial", "order", "example", "model", "tracking", "invoice"}
+RAISED, LOWERED = 0.2, 0.3
 
 
 class Span(NamedTuple):
@@ -103,35 +116,50 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_DIGIT.findall(m[0])) <= 15:
                 yield "phone", *m.span()
+    free = 0
     for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield "iban", *m.span()
+        if m.start() >= free and (end := _iban_end(text, m.start(), IBAN_LENGTH.get(m[1].upper(), 0))):
+            yield "iban", m.start(), end
+            free = end
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield "ssn", *m.span()
 
 
-def _score(text: str, kind: str, start: int) -> float:
-    near = set(_WORD.findall(text[max(0, start - CONTEXT) : start].lower()))
-    score = _PRIOR[kind] + 0.2 * bool(near & _RAISE[kind]) - 0.2 * bool(near & _LOWER)
+def _iban_end(text: str, start: int, length: int) -> int:
+    """Where an IBAN of so many characters ends, single spaces aside; 0 if there is none."""
+    at, code = start, []
+    while len(code) < length and at < len(text):
+        c = text[at]
+        if c.isascii() and c.isalnum():
+            code.append(c)
+        elif c != " " or text[at - 1] == " ":
+            return 0
+        at += 1
+    after = text[at : at + 1]
+    return at if length and len(code) == length and not (after.isascii() and after.isalnum()) and mod97("".join(code)) else 0
+
+
+def _score(text: str, kind: str, start: int, end: int) -> float:
+    near = set(_WORD.findall(text[max(0, start - CONTEXT) : start].lower())) | set(_WORD.findall(text[end : end + CONTEXT].lower()))
+    score = _PRIOR[kind] + RAISED * bool(near & _RAISE[kind]) - LOWERED * bool(near & _LOWER)
     return round(min(1.0, max(0.0, score)), 2)
 
 
-def spans_of(text: str | None, least_score: float = LEAST_SCORE) -> list[Span]:
+def spans_of(text: str | None, least_score: float = LEAST_SCORE, least_base: float = LEAST_BASE) -> list[Span]:
     """Spans by kind as listed, then start."""
-    found = (Span(kind, a, b, _score(text, kind, a)) for kind, a, b in _proposals(text or ""))
-    return sorted((s for s in found if s.kind in BASE or s.score >= least_score), key=lambda s: (KINDS.index(s.kind), s.start))
+    found = (Span(kind, a, b, _score(text, kind, a, b)) for kind, a, b in _proposals(text or ""))
+    return sorted((s for s in found if s.score >= (least_base if s.kind in BASE else least_score)), key=lambda s: (KINDS.index(s.kind), s.start))
 
 
-def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
+def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_score: float = LEAST_SCORE, least_base: float = LEAST_BASE) -> DataFrame:
     """doc_id, spans: one row for each document."""
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
 
     def start():
-        return lambda batch: {"doc_id": batch["doc_id"], "spans": [[s._asdict() for s in spans_of(x, least_score)] for x in batch["text"].to_pylist()]}
+        return lambda batch: {"doc_id": batch["doc_id"], "spans": [[s._asdict() for s in spans_of(x, least_score, least_base)] for x in batch["text"].to_pylist()]}
 
     return map_rows(picked, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>", start)
 
@@ -146,12 +174,12 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask(docs: DataFrame, *, text: str = "text", length: str | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
+def mask(docs: DataFrame, *, text: str = "text", length: str | None = None, least_score: float = LEAST_SCORE, least_base: float = LEAST_BASE) -> DataFrame:
     """All documents and columns with spans masked; ``length`` names a column that holds the text's length, if any."""
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            new = [x if x is None or not (s := spans_of(x, least_score)) else masked(x, s) for x in batch[text].to_pylist()]
+            new = [x if x is None or not (s := spans_of(x, least_score, least_base)) else masked(x, s) for x in batch[text].to_pylist()]
             for name, values in ((text, new), (length, [None if x is None else len(x) for x in new])):
                 if name is not None:
                     i = batch.schema.get_field_index(name)
@@ -164,7 +192,7 @@ def mask(docs: DataFrame, *, text: str = "text", length: str | None = None, leas
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns, from the spans that ``find`` returns."""
+    """The contract's columns, from the spans that ``find`` returns, and the scores in the order of ``spans``."""
     found = find(docs)
     line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("bigint")
@@ -174,4 +202,5 @@ def digest(docs: DataFrame) -> DataFrame:
         *[of(k).alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", line), ",").alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
