@@ -7,9 +7,10 @@ has its own learning rate, and L1 leaves most weights at exactly zero, so what i
 list of (index, weight).
 
 Learning. At most ``max_rows`` labelled documents, least by a hash of their id, are learned from, in the
-order of that hash, by one task that holds their feature indices (a documented bound; 12,000 documents
-of usual length are about 120 MB). Rows whose crc32(id as text) mod 3 is 1 are held out. Scoring reads
-every document once, in place.
+order of that hash (a documented bound). Features are hashed where the documents lie; one task then gets
+their indices only, and takes documents in that order while they have at most ``max_features`` indices
+together (256 MB). Rows whose crc32(id as text) mod 3 is 1 are held out. Scoring reads every document
+once, in place.
 
 Edge cases: null and empty texts have no features and get the score of the intercept; null ids are
 scored, never learned from; null labels are not learned from; of repeated labels all are learned from;
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .arrow import as_bytes, map_rows, pass_rows
 from .words import ALNUM, Hashed, Powers, blocks, mix
 
-BITS, MAX_ROWS, THRESHOLD = 20, 12_000, 0.7
+BITS, MAX_ROWS, MAX_FEATURES, THRESHOLD = 20, 12_000, 1 << 26, 0.7
 STEMS = (5, 6, 7, 8)
 
 
@@ -99,17 +100,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, options: Ftrl = Ftrl(), bits: int = BITS) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, options: Ftrl = Ftrl(), bits: int = BITS) -> DataFrame:
     """index, weight: the weights that are not zero, and the intercept at index -1."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     # Ids and labels of max_rows documents at most: small enough to send to every task.
     chosen = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id", "label").limit(max_rows)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("place", "doc_id", "label", "text")
-    first = texts.repartition(1).sortWithinPartitions("place", "doc_id", "label", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed() -> Callable[[pa.RecordBatch], dict]:
         features = Features(bits)
-        rows = [(features.distinct(x), y) for b in batches for x, y in zip(as_bytes(b["text"]), b["label"].to_pylist())]
+        return lambda batch: {"place": batch["place"], "label": batch["label"], "found": [features.distinct(x) for x in as_bytes(batch["text"])]}
+
+    found = map_rows(texts, "place bigint, label int, found array<int>", hashed)
+    first = found.repartition(1).sortWithinPartitions("place", "label", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[np.ndarray, int]] = []
+        room = max_features
+        for batch in batches:
+            column = batch["found"]
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            for a, b, label in zip(ends[:-1].tolist(), ends[1:].tolist(), batch["label"].to_pylist()):
+                if b - a <= room:
+                    rows.append((values[a:b].copy(), label))
+                room -= b - a  # once over, nothing more is taken
         w, bias = train(rows, options, bits)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int64)), pa.array(np.append(w[at], bias))], names=["index", "weight"])
