@@ -1,7 +1,7 @@
 """Editing and versions without updates in place.
 
 A section table is (doc_id, section_id, parent_id, order_key, level, heading, content, rev, manually_edited).
-An edit returns the new table; ``log`` rows are appended by the caller and ``latest`` is the state. An edit
+An edit returns the new table, its order keys numbered anew; ``log`` rows are appended by the caller and ``latest`` is the state. An edit
 is a small DataFrame of requests, so many documents are edited in one job. Chunks, parts and indexes are
 always derived from the latest sections and can't go stale.
 """
@@ -55,6 +55,12 @@ def resequence(sections: DataFrame) -> DataFrame:
     return walked.select(*sections.columns, place.alias("order_index"), F.array_join("w.names", " > ").alias("breadcrumb"))
 
 
+def renumbered(sections: DataFrame) -> DataFrame:
+    """The table with order keys 0, 1, 2, ... in the order of ``resequence``, so that a later edit finds room behind any section."""
+    kind = sections.schema["order_key"].dataType
+    return resequence(sections).withColumn("order_key", F.col("order_index").cast(kind)).select(*sections.columns)
+
+
 def check_revisions(sections: DataFrame, requests: DataFrame) -> DataFrame:
     """The requests (section_id, rev, ...) that are stale; null revisions are never stale."""
     return requests.alias("q").join(sections.select("section_id", F.col("rev").alias("now")), "section_id").where(F.col("q.rev") != F.col("now"))
@@ -81,7 +87,7 @@ def insert(sections: DataFrame, requests: DataFrame, at_end: bool = False) -> Da
     key = F.coalesce(F.col("k") + 0.5, F.col("last") + 0.5 if at_end else F.lit(-0.5))
     rows = requests.join(before, "after_id", "left").join(ends, "doc_id", "left")
     made = rows.select("doc_id", "section_id", F.when(F.col("level") > F.col("l"), F.col("after_id")).otherwise(F.col("p")).alias("parent_id"), key.alias("order_key"), "level", "heading", "content", F.lit(1).cast("bigint").alias("rev"), F.lit(True).alias("manually_edited"))
-    return sections.unionByName(made.select(*sections.columns))
+    return renumbered(sections.unionByName(made.select(*sections.columns)))
 
 
 def delete(sections: DataFrame, section_ids: list[int]) -> DataFrame:
@@ -101,9 +107,9 @@ def move(sections: DataFrame, section_id: int, new_parent: int | None, after: in
     me = F.col("section_id") == section_id
     out = sections.withColumn("parent_id", F.when(me, F.lit(new_parent).cast("bigint")).otherwise(F.col("parent_id")))
     if after is None:
-        return out
+        return renumbered(out)
     place = F.max(F.when(F.col("section_id") == after, F.col("order_key"))).over(W.partitionBy("doc_id"))
-    return out.withColumn("order_key", F.when(me, F.coalesce(place + 0.5, "order_key")).otherwise(F.col("order_key")))
+    return renumbered(out.withColumn("order_key", F.when(me, F.coalesce(place + 0.5, "order_key")).otherwise(F.col("order_key"))))
 
 
 def split(sections: DataFrame, section_id: int, at: int, new_id: int) -> DataFrame:
@@ -114,7 +120,7 @@ def split(sections: DataFrame, section_id: int, at: int, new_id: int) -> DataFra
     tail = F.regexp_replace(F.substring("content", cut + 1, F.length("content")), r"(?U)^\s+", "")
     row = lambda **new: F.struct(*[(new.get(c, F.col(c))).alias(c) for c in sections.columns])
     both = F.array(row(content=head, rev=F.col("rev") + 1), row(section_id=F.lit(new_id).cast("bigint"), order_key=F.col("order_key") + 0.5, heading=F.concat("heading", F.lit(" (continued)")), content=tail, rev=F.lit(1).cast("bigint")))
-    return sections.select(F.explode(F.when(me, both).otherwise(F.array(row()))).alias("s")).select("s.*")
+    return renumbered(sections.select(F.explode(F.when(me, both).otherwise(F.array(row()))).alias("s")).select("s.*"))
 
 
 def merge(sections: DataFrame, section_ids: list[int]) -> DataFrame:
@@ -151,6 +157,53 @@ def reimport_actions(incoming: DataFrame, stored: DataFrame, settings: Settings
     return both.select("n.*", F.col("o.old_id").alias("existing_id"), action.alias("action"))
 
 
+def update_documents(docs: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: doc_id and any of title, folder_id; null leaves a field as it is. Documents not named stay."""
+    fields = [c for c in ("title", "folder_id") if c in requests.columns]
+    new = requests.select("doc_id", *[F.col(c).alias(f"new_{c}") for c in fields])
+    joined = docs.join(new, "doc_id", "left")
+    return joined.withColumns({c: F.coalesce(f"new_{c}", c) for c in fields}).select(*docs.columns)
+
+
+def delete_documents(tables: dict[str, DataFrame], doc_ids: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the rows of the documents in ``doc_ids`` (doc_id)."""
+    return {name: df.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti") for name, df in tables.items()}
+
+
+def rechunked(before: DataFrame, after: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Chunks of the sections that an edit made or changed; those of untouched sections stay valid."""
+    from .sections import chunks
+
+    old = before.select("doc_id", "section_id", F.col("heading").alias("h"), F.col("content").alias("c"))
+    same = after.join(old, ["doc_id", "section_id"], "left").where(~(F.col("h").eqNullSafe(F.col("heading")) & F.col("c").eqNullSafe(F.col("content"))))
+    return chunks(same, keys=("doc_id", "section_id"), content="content", size=settings.chunk_tokens, overlap=settings.chunk_overlap)
+
+
+def create_versions(log: DataFrame, docs: DataFrame, state: str, as_of: Column) -> DataFrame:
+    """Rows for the version log: the next number of each document in ``docs`` (doc_id, md), ``pending`` or ``current``."""
+    known = next_version(log, ["doc_id"])
+    return docs.join(known, "doc_id", "left").select("doc_id", F.coalesce("next_version", F.lit(1)).cast("bigint").alias("version_no"), F.lit(state).alias("state"), "md", as_of.alias("created_at"))
+
+
+def discard_pending(versions: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """The versions, pending ones of those documents marked as discarded."""
+    named = versions.join(doc_ids.select("doc_id").distinct().withColumn("named", F.lit(True)), "doc_id", "left")
+    gone = F.coalesce("named", F.lit(False)) & (F.col("state") == "pending")
+    return named.withColumn("state", F.when(gone, "discarded").otherwise(F.col("state"))).select(*versions.columns)
+
+
+def versions_of(log: DataFrame) -> DataFrame:
+    """doc_id, version_no, state, created_at, n_chars: the list of versions, newest first inside a document."""
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("version_no"))).cast("bigint")
+    return log.select("doc_id", "version_no", "state", "created_at", F.length("md").cast("bigint").alias("n_chars"), rank.alias("newest"))
+
+
+def revisions_of(log: DataFrame) -> DataFrame:
+    """doc_id, section_id, rev, author, source, ts, changed: each revision, and whether its text differs from the one before."""
+    before = F.lag("content").over(W.partitionBy("doc_id", "section_id").orderBy("rev"))
+    return log.select("doc_id", "section_id", "rev", "author", "source", "ts", (~before.eqNullSafe(F.col("content"))).alias("changed"))
+
+
 def stale(docs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return docs.where(F.col("pipeline_version") != settings.pipeline_version)
 

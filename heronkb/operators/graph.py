@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.text import let, sub
-from .retrieval import small
+
 
 # An upper-case word start, phrases of two or more such words, tokens, and words that are no entity.
 _CAP = r"[A-ZА-ЯЁ][\p{L}\p{N}_\-]*"
@@ -81,7 +81,7 @@ def overview(known: DataFrame, links: DataFrame, nodes: int = 60, most: int = 50
 def stream(found: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, doc_id, score: how many of a section's entities contain any query word of 3 or more letters."""
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), lambda x: F.length(x) >= 3)
-    asked = small(queries.select("query_id", words.alias("words")))
+    asked = queries.select("query_id", words.alias("words"))
     # Every entity name is compared once with a few queries, before its mentions are joined.
     hit = found.select("norm").distinct().join(asked, F.exists("words", lambda w: F.col("norm").contains(w))).select("query_id", "norm")
     return found.join(hit, "norm").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))

@@ -24,9 +24,13 @@ def visible(agent_id: str) -> Column:
 
 
 def remember(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """New rows made storable: secrets masked in title and content, hash of what is stored, default scope, known tiers only."""
+    """New rows made storable: secrets masked in title and content, hash of what is stored, default scope.
+
+    An unknown tier fails the job that stores the rows, so that none is lost unsaid.
+    """
     content, title = redact(F.col("content")), redact(F.coalesce(F.col("title"), F.lit("")))
-    return rows.where(F.col("tier").isin(*TIERS)).withColumns({"content": content, "title": title, "content_hash": F.sha2(content, 256), "scope": F.coalesce("scope", F.lit(settings.memory_scope))})
+    refuse = F.raise_error(F.concat(F.lit("unknown tier: "), F.coalesce(F.col("tier"), F.lit("null")))).cast("string")
+    return rows.withColumns({"tier": F.when(F.col("tier").isin(*TIERS), F.col("tier")).otherwise(refuse), "content": content, "title": title, "content_hash": F.sha2(content, 256), "scope": F.coalesce("scope", F.lit(settings.memory_scope))})
 
 
 def with_supersession(log: DataFrame) -> DataFrame:
@@ -97,6 +101,22 @@ def consolidate(working: DataFrame, hooks: Hooks = DEFAULT.hooks) -> DataFrame:
     return told.withColumns({"facts": F.when(done, facts_of(F.col("told"))).otherwise(F.array().cast("array<string>")), "content": F.when(done, strip(F.col("told"))).otherwise(F.col("content"))}).drop("bullets", "told")
 
 
+def promoted(episodes: DataFrame, log: DataFrame, as_of: Column, importance: float = 1.2) -> tuple[DataFrame, DataFrame]:
+    """What a consolidation stores: new rows (one episode a session, one semantic row a fact), and the working rows they
+    supersede as (mem_id, superseded_by_key). ``episodes`` as ``consolidate`` gives them, ``log`` the memory so far.
+
+    A fact that the agent knows already, by the hash of its text, isn't stored again.
+    """
+    key = F.concat(F.lit("episode:"), F.col("agent_id").cast("string"), F.lit(":"), F.col("session_id").cast("string"))
+    shape = lambda df, tier, content, weight: df.select("agent_id", "session_id", F.lit(tier).alias("tier"), key.alias("from_key"), "title", content.alias("content"), F.sha2(content, 256).alias("content_hash"), F.lit(weight).alias("importance"), as_of.alias("created_at"))
+    stories = shape(episodes, "episodic", F.col("content"), 1.0)
+    facts = episodes.select("agent_id", "session_id", F.lit("").alias("title"), F.explode("facts").alias("fact"))
+    facts = shape(facts, "semantic", redact(F.col("fact")), importance).dropDuplicates(["agent_id", "content_hash"])
+    known = log.where("tier = 'semantic'").select("agent_id", "content_hash").distinct()
+    new = stories.unionByName(facts.join(known, ["agent_id", "content_hash"], "left_anti").select(*stories.columns))
+    return new, episodes.select(F.explode("mem_ids").alias("mem_id"), key.alias("superseded_by_key"))
+
+
 def decayed(as_of: Column, half_life_days: float = DEFAULT.memory_half_life_days) -> Column:
     """Importance halved for each half-life since the last access."""
     days = (F.unix_micros(as_of) - F.unix_micros("last_accessed_at")) / F.lit(86_400e6)

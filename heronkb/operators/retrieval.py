@@ -6,7 +6,7 @@ for all of them, keeps only the query terms it holds, and the rest is aggregated
 
 from __future__ import annotations
 
-
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,13 +17,14 @@ from ..config import DEFAULT, Hooks
 from ..functions.text import let, tokens
 
 K1, B = 1.2, 0.75
-#: Terms and queries are sent to every task up to this many rows, and joined by shuffle beyond.
-BROADCAST_ROWS = 100_000
+#: Query vectors that are sent to every task at once; more are taken in blocks.
+BLOCK_ROWS = 20_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if the rows are few enough by count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def blocks_of(queries: DataFrame, key: str = "query_id") -> list[DataFrame]:
+    """The stated queries in parts of about ``BLOCK_ROWS``; only they are counted, never the corpus."""
+    parts = -(-queries.count() // BLOCK_ROWS)
+    return [queries] if parts <= 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,7 +62,7 @@ def _matches(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataF
     """Postings of the query terms only, with document lengths."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("bigint"))
     wanted = terms.select("term").distinct()
-    return rows.select("doc_id", "dl", F.explode("toks").alias("term")).join(small(wanted), "term").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return rows.select("doc_id", "dl", F.explode("toks").alias("term")).join(wanted, "term").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def lexical(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, scorer: str = "bm25", stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,14 +73,19 @@ def lexical(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, scor
     Scores are Okapi BM25 (k1 1.2, b 0.75) over the whole corpus, or plain term frequency, rounded to
     six places so that ranks don't hang on the order of a sum.
     """
+    return scores(docs, queries, match_all=match_all, stats=stats, doc_id=doc_id, text=text).select("query_id", "doc_id", F.col(scorer).alias("score"))
+
+
+def scores(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, doc_id, bm25, tf: both scores of each match from one pass over the postings."""
     terms = query_terms(queries)
     hits, whole = _matches(docs, terms, doc_id, text), corpus_stats(docs, text) if stats is None else stats
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hits.join(small(terms), "term").join(small(df), "term").crossJoin(F.broadcast(whole))  # one row
+    joined = hits.join(terms, "term").join(df, "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("tf").cast("double") if scorer == "tf" else idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = joined.groupBy("query_id", "doc_id", "n_terms").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("found"))
-    return (out.where("found = n_terms") if match_all else out).select("query_id", "doc_id", "score")
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    out = joined.groupBy("query_id", "doc_id", "n_terms").agg(F.round(F.sum(part), 6).alias("bm25"), F.sum(F.col("tf").cast("double")).alias("tf"), F.count("*").alias("found"))
+    return (out.where("found = n_terms") if match_all else out).select("query_id", "doc_id", "bm25", "tf")
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -122,8 +128,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """query_id, key, score, rank: exact cosine, each vector against a block of stated queries (query_id, q)."""
-    scored = vectors.select(key, "embedding").crossJoin(small(queries.select("query_id", "q"))).select("query_id", key, F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top(scored.where("score is not null"), k, key)
+    arms = []
+    for block in blocks_of(queries.select("query_id", "q")):
+        pairs = vectors.select(key, "embedding").crossJoin(F.broadcast(block))  # a block of bounded size
+        scored = pairs.select("query_id", key, F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+        arms.append(top(scored.where("score is not null"), k, key))
+    return reduce(DataFrame.unionByName, arms)
 
 
 def best_sections(chunk_hits: DataFrame, key: str = "order_index") -> DataFrame:
@@ -160,7 +170,7 @@ def rerank(fused: DataFrame, docs: DataFrame, queries: DataFrame, hooks: Hooks,
     """Reorders each query's candidates by an injected model, stably; candidates are few."""
     model = hooks.rerank
     body = docs.select(F.col(doc_id).alias("doc_id"), F.left(F.col(text), F.lit(2000)).alias("body"))
-    rows = body.join(small(fused), "doc_id").join(small(queries), "query_id").select("query_id", "query", "doc_id", "score", "rank", "body")
+    rows = body.join(fused, "doc_id").join(queries, "query_id").select("query_id", "query", "doc_id", "score", "rank", "body")
 
     def order(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank")
@@ -177,7 +187,7 @@ def evaluate(hits: DataFrame, golden: DataFrame) -> DataFrame:
     A hit is a returned row whose title contains any relevant text; recall is capped at 1.
     """
     wanted = golden.groupBy("query_id").agg(F.collect_set(F.lower("relevant")).alias("wanted"))
-    judged = hits.join(small(wanted), "query_id", "right").withColumn("hit", F.coalesce(F.exists("wanted", lambda w: F.lower(F.col("title")).contains(w)), F.lit(False)))
+    judged = hits.join(wanted, "query_id", "right").withColumn("hit", F.coalesce(F.exists("wanted", lambda w: F.lower(F.col("title")).contains(w)), F.lit(False)))
     by_query = judged.groupBy("query_id").agg(F.count_if("hit").alias("hits"), F.count("title").alias("returned"), F.max(F.size("wanted")).alias("n"))
     return by_query.select("query_id", "hits", "returned", F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1), F.col("n"))).alias("recall"), (F.col("hits") / F.greatest(F.lit(1), F.col("returned"))).alias("precision"))
 

@@ -400,8 +400,8 @@ _TF_ARM = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORD
 @query(f"WITH {_BM25}, a AS ({_LEX_ARM}), b AS ({_TF_ARM}), u AS (SELECT * FROM a WHERE rank <= 30 UNION ALL SELECT * FROM b WHERE rank <= 30) SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY query_id, doc_id")
 def rrf_fuse(spark, sf):
     q = views.search_queries(spark)
-    arms = [retrieval.top(retrieval.lexical(docs(spark, sf), q, scorer=s), 30) for s in ("bm25", "tf")]
-    return retrieval.fuse(arms)
+    both = retrieval.scores(docs(spark, sf), q)
+    return retrieval.fuse([retrieval.top(both.select("query_id", "doc_id", F.col(s).alias("score")), 30) for s in ("bm25", "tf")])
 
 
 @query(

@@ -80,18 +80,37 @@ def export(docs: DataFrame, folder: str, name: str = "title", md: str = "md") ->
     rows.write.mode("overwrite").partitionBy("slug").text(folder)
 
 
+_MARK = "version string, number bigint, published_at timestamp"
+
+
+def _marks(spark: SparkSession, folder: str) -> DataFrame:
+    """The markers of all versions; none where nothing was published yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_versions")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], _MARK)
+    return spark.read.schema(_MARK).parquet(f"{folder}/_versions")
+
+
 def publish(tables: dict[str, DataFrame], folder: str, version: str) -> str:
-    """Writes all tables under one version, then a marker: readers that look for the marker see all or nothing."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+    """Writes all tables under one version, then a marker: readers that look for the marker see all or nothing.
+
+    A version that is published already is refused, since readers may be at it. One publisher at a time.
+    """
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version,)], "version string").write.mode("append").parquet(f"{folder}/_versions")
+    marks = _marks(spark, folder)
+    known = marks.agg(F.coalesce(F.max("number"), F.lit(0)).alias("last"), F.coalesce(F.bool_or(F.col("version") == version), F.lit(False)).alias("there")).first()
+    if known.there:
+        raise ValueError(f"version {version} is published already")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")  # what a failed attempt left
+    mark = spark.range(1).select(F.lit(version).alias("version"), F.lit(known.last + 1).cast("bigint").alias("number"), F.current_timestamp().alias("published_at"))
+    mark.coalesce(1).write.mode("append").parquet(f"{folder}/_versions")
     return version
 
 
-def published(spark: SparkSession, folder: str) -> str:
-    """The last version that was published whole."""
-    return spark.read.parquet(f"{folder}/_versions").agg(F.max("version")).first()[0]
+def published(spark: SparkSession, folder: str) -> str | None:
+    """The version that was published last, by its number, whatever its name."""
+    return _marks(spark, folder).agg(F.max_by("version", "number")).first()[0]
 
 
 def golden_set(spark: SparkSession, path: str) -> DataFrame:
