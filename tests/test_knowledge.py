@@ -267,3 +267,32 @@ def test_demo_is_searchable(spark):
     hits = retrieval.top(retrieval.lexical(made["documents"], asked(spark, "blade month"), text="md"), 3).collect()
     assert [r.doc_id for r in hits] == [2] and made["sections"].count() == 9
     assert {r.norm for r in made["entities"].collect()} >= {"band saw bs-7", "bs-7"}
+
+
+def test_edits_follow_each_other(spark):
+    state = spark.createDataFrame([(1, 1, None, 0.0, 1, "A", "a", 1, False), (1, 2, None, 1.0, 1, "B", "b", 1, False)], "doc_id bigint, section_id bigint, parent_id bigint, order_key double, level int, heading string, content string, rev bigint, manually_edited boolean")
+    put = lambda i, after: spark.createDataFrame([(1, i, after, f"N{i}", "x", 1)], "doc_id bigint, section_id bigint, after_id bigint, heading string, content string, level int")
+    names = lambda df: [r.heading for r in editing.resequence(df).orderBy("order_index").collect()]
+    one = editing.insert(state, put(8, 1))
+    assert names(editing.insert(one, put(9, 8))) == ["A", "N8", "N9", "B"]
+    assert names(editing.insert(one, put(9, 1))) == ["A", "N9", "N8", "B"]
+    moved = editing.move(one, 2, None, 1)
+    assert names(moved) == ["A", "B", "N8"] and names(editing.move(moved, 8, None, 1)) == ["A", "N8", "B"]
+    parts = editing.rechunked(one, editing.insert(one, put(9, 8)))
+    assert [(r.section_id, r.text) for r in parts.collect()] == [(9, "x")]
+
+
+def test_versions_go_by_number_and_are_never_replaced(spark, tmp_path):
+    folder = str(tmp_path / "kb")
+    assert files.published(spark, folder) is None
+    for v in ("v9", "v10"):
+        files.publish({"t": spark.range(3)}, folder, v)
+    assert files.published(spark, folder) == "v10"
+    with pytest.raises(ValueError):
+        files.publish({"t": spark.range(1)}, folder, "v9")
+
+
+def test_an_unknown_tier_is_refused(spark):
+    rows = log(spark, [(1, "a", "shared", "imaginary", "", "", "x", 1.0, at(0), at(0))])
+    with pytest.raises(Exception, match="unknown tier"):
+        memory.remember(rows).collect()
