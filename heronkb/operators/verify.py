@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.text import looks_clean, looks_garbled, strip
+from ..functions.text import let, looks_clean, looks_garbled, strip
 
 
 def _words(text: Column) -> Column:
@@ -19,10 +19,18 @@ def _numbers(text: Column) -> Column:
 
 def report(source: Column, output: Column, least: float = DEFAULT.faithfulness_min, target_language: str = "auto") -> dict[str, Column]:
     """coverage, numbers_ok, missing_numbers (20 at most), clean, score, passed; rounded half-even to 3 places."""
-    src, out = _words(source), _words(output)
+    return _report(_parts(source, output), output, least, target_language)
+
+
+def _parts(source: Column, output: Column) -> dict[str, Column]:
+    return {"src": _words(source), "out": _words(output), "numbers": _numbers(source), "there": _numbers(output)}
+
+
+def _report(parts: dict[str, Column], output: Column, least: float, target_language: str) -> dict[str, Column]:
+    src, out, numbers, there = parts.values()
     coverage = F.when(F.size(src) > 0, F.size(F.array_intersect(src, out)) / F.size(src)).otherwise(F.lit(1.0))
-    numbers, there = _numbers(source), _numbers(output)
-    missing = F.filter(numbers, lambda x: ~F.array_contains(there, x))
+    # What is gone is mostly little, so each number is sought in that and not in all of the other text's.
+    missing = let(F.array_except(numbers, there), lambda gone: F.filter(numbers, lambda x: F.array_contains(gone, x)))
     numbers_ok = F.when(F.size(numbers) > 0, F.size(missing) / F.size(numbers) < 0.05).otherwise(True)
     clean = F.lit(True) if target_language in ("auto", "zh", "zh-cn") else ~output.rlike(r"[\x{4E00}-\x{9FFF}]")
     score = coverage * F.when(numbers_ok, 1.0).otherwise(0.7) * F.when(clean, 1.0).otherwise(0.8)
@@ -36,9 +44,13 @@ def report(source: Column, output: Column, least: float = DEFAULT.faithfulness_m
     }
 
 
-def verify(pairs: DataFrame, source: str = "source", output: str = "output", **options) -> DataFrame:
-    found = report(F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(output), F.lit("")), **options)
-    return pairs.select(*[c for c in pairs.columns if c not in (source, output)], *[v.alias(k) for k, v in found.items()])
+def verify(pairs: DataFrame, source: str = "source", output: str = "output", least: float = DEFAULT.faithfulness_min, target_language: str = "auto") -> DataFrame:
+    """The report of each row; words and numbers are columns of an inner step, so that each text is read once."""
+    rest = [c for c in pairs.columns if c not in (source, output)]
+    parts = _parts(F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(output), F.lit("")))
+    read = pairs.select(*rest, F.coalesce(F.col(output), F.lit("")).alias("__output"), *[v.alias(f"__{k}") for k, v in parts.items()])
+    found = _report({k: F.col(f"__{k}") for k in parts}, F.col("__output"), least, target_language)
+    return read.select(*rest, *[v.alias(k) for k, v in found.items()])
 
 
 def corpus(scores: DataFrame, score: str = "score", least: float = DEFAULT.faithfulness_min) -> DataFrame:
