@@ -47,6 +47,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(_t(spark, sf_dir, "pages"))
 
 
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's operator over archives that were damaged on purpose."""
+    return warc.salvage_digest(_t(spark, sf_dir, "pages"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(_t(spark, sf_dir, "documents"))
 
@@ -58,13 +63,14 @@ def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_order_minhash, op3_simhash, op4_toxicity, op5_pii, op6_warc, op7_licenses, op8_ring, op9_url_filter, op10_pack, url_aliases)
+    for f in (op1_decontaminate, op2_order_minhash, op3_simhash, op4_toxicity, op5_pii, op6_warc, op7_licenses, op8_ring, op9_url_filter, op10_pack, url_aliases, warc_salvage)
 }
 #: The others are tested against brute force in tests/llm: SQL has no XXH64, sequential packing, positions of
 #: matches or learned weights.
 SQL = {
     "op1_decontaminate": decontam.SQL,
     "op6_warc": warc.SQL,
+    "warc_salvage": warc.SALVAGE_SQL,
     "op9_url_filter": urlfilter.sql(),
     "url_aliases": urlfilter.sql(urlfilter.ALIAS_PAGES),
 }

@@ -10,7 +10,9 @@ executor or a second attempt leaves at worst a file that nobody reads.
 Reading. A record counts if its member's checksum, its header, its length and its block digest hold.
 After a failed check the reader looks for the next member or version line that begins a valid record,
 goes on there, and logs the bytes between as a gap with the reason. It never keeps more of a file than
-one record of at most ``most`` bytes and a read-ahead.
+one record of at most ``most`` bytes and a read-ahead. False headers cost no more than themselves unless
+a blank line stands where they say that their block ends; then the block is read for its digest. The
+members of foreign archives are read whole, so one of more than ``most`` bytes unpacked is a gap.
 
 Edge cases: null URLs have no target header, control characters in one are escaped; rows with null or
 repeated ids are written and read each on its own; an empty table gives no rows; an empty or foreign
@@ -23,7 +25,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from .recovery import checkpointed, shared_folder
 
 REVISIT_BYTES, ARCHIVE_BYTES, MOST, LEVEL = 1000, 64 << 20, 256 << 20, 5
+OWN = 1 << 32  # more than a record made of one value can have
 DATE = "1970-01-01T00:00:00Z"
 _CHUNK = 1 << 18
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
@@ -71,6 +74,7 @@ class Ahead:
 
     def __init__(self, file: BinaryIO) -> None:
         self.file, self.base, self.kept, self.over = file, 0, bytearray(), False
+        self.clear = 0, 0  # no blank line begins from the one up to the other
 
     def to(self, end: int) -> None:
         while not self.over and self.base + len(self.kept) < end:
@@ -100,6 +104,21 @@ class Ahead:
             start = max(start, end - len(pattern) + 1)
             self.drop(start)
 
+    def blank_line(self, start: int, most: int) -> int:
+        """Place of the next blank line within ``most`` bytes, or -1; what was searched before is not searched again."""
+        low, known = self.clear
+        if not low <= start <= known:
+            low = known = start
+        at = -1
+        while known - start <= most:
+            self.to(known + _CHUNK)
+            at = self.kept.find(b"\r\n\r\n", known - self.base)
+            known = self.base + at if at >= 0 else max(known, self.base + len(self.kept) - 3)
+            if at >= 0 or self.over:
+                break
+        self.clear = low, known
+        return known if at >= 0 and known - start <= most else -1
+
 
 class Found(NamedTuple):
     start: int
@@ -117,25 +136,26 @@ def _parse(data: Ahead, at: int, most: int) -> tuple[int, dict[str, str], bytes]
     """End, headers and block of the plain record at a place."""
     if not _LINE.match(data.get(at, at + 10)):
         raise Damage("no version line")
-    size = 1 << 12
-    while (end := (head := data.get(at, at + size)).find(b"\r\n\r\n")) < 0:
-        if len(head) < size or size >= 1 << 20:
-            raise Damage("header without end")
-        size *= 4
-    headers = {}
-    for line in head[:end].split(b"\r\n")[1:]:
-        k, colon, v = line.partition(b":")
+    end = data.blank_line(at, most)
+    if end < 0:
+        raise Damage("header without end")
+    headers, line = {}, at + 10
+    while line < end:  # line by line, so that a false header is left at its first bad line
+        stop = data.find(b"\r\n", line)
+        k, colon, v = data.get(line, stop).partition(b":")
         if not colon:
             raise Damage("header line without colon")
         headers[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
+        line = stop + 2
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit() or int(length) > most:
         raise Damage("bad length")
-    start = at + end + 4
+    start = end + 4
     stop = start + int(length)
-    block = data.get(start, stop)
-    if len(block) < int(length) or data.get(stop, stop + 4) != b"\r\n\r\n":
+    # The end is looked at first: a false length is seen without a copy of what it spans.
+    if data.get(stop, stop + 4) != b"\r\n\r\n":
         raise Damage("truncated block")
+    block = data.get(start, stop)
     kind, _, digest = headers.get("warc-block-digest", "").partition(":")
     if kind == "sha1" and len(digest) == 40 and hashlib.sha1(block).hexdigest() != digest.lower():
         raise Damage("block digest differs")
@@ -144,13 +164,13 @@ def _parse(data: Ahead, at: int, most: int) -> tuple[int, dict[str, str], bytes]
 
 def _inflate(data: Ahead, at: int, most: int) -> tuple[int, bytes]:
     """End and content of the gzip member at a place."""
-    unpack, out, here = zlib.decompressobj(31), bytearray(), at
+    unpack, out, here, step = zlib.decompressobj(31), bytearray(), at, 1 << 10
     try:
         while not unpack.eof:
-            part = data.get(here, here + _CHUNK)
+            part = data.get(here, here + step)
             if not part:
                 raise Damage("truncated member")
-            here += len(part)
+            here, step = here + len(part), min(2 * step, _CHUNK)  # a false start fails within little
             out += unpack.decompress(part, most + (1 << 20) - len(out))
             if len(out) > most or unpack.unconsumed_tail:
                 raise Damage("member too large")
@@ -228,8 +248,12 @@ def salvage(file: BinaryIO, most: int = MOST) -> Iterator[Found]:
     yield from (_members if packed else _plain)(data, most)
 
 
-def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> DataFrame:
-    """Writes all rows to archives in a folder that all executors reach, and returns path, records, bytes."""
+def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE, harm: Callable[[str, bytes], tuple[bytes, int]] | None = None) -> DataFrame:
+    """Writes all rows to archives in a folder that all executors reach, and returns path, records, bytes, harmed.
+
+    ``harm`` is for rehearsals of the salvage: it gets digest and member, and returns what to write and
+    how many bytes of that are lost to a reader.
+    """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size"))
     copies = rows.where(F.col("size") >= revisit_bytes).groupBy(F.col("digest").alias("same"), F.col("size").alias("same_size")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
@@ -241,27 +265,28 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
         task = TaskContext.get()
-        file, path, count, size, part = None, "", 0, 0, 0
+        file, path, count, size, lost, part = None, "", 0, 0, 0, 0
 
         def done() -> pa.RecordBatch:
             file.close()
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), *(pa.array([n], pa.int64()) for n in (count, size, lost))], names=["path", "records", "bytes", "harmed"])
 
         for batch in batches:
             for key, address, text, digest, other in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to"))):
                 if file is None:
                     path = f"{top}/part-{task.partitionId():06d}-{part:04d}-{uuid.uuid4().hex}.warc.gz"
-                    file, count, size, part = store.open_output_stream(path), 0, 0, part + 1
+                    file, count, size, lost, part = store.open_output_stream(path), 0, 0, 0, part + 1
                 data = member(page_record(key, address, text.encode("utf-8", "replace"), digest, other, date))
+                data, bad = harm(digest, data) if harm else (data, 0)
                 file.write(data)
-                count, size = count + 1, size + len(data)
+                count, size, lost = count + 1, size + len(data), lost + bad
                 if size >= archive_bytes:
                     yield done()
                     file = None
         if file is not None:
             yield done()
 
-    return checkpointed(dealt.mapInArrow(run, "path string, records bigint, bytes bigint"))
+    return checkpointed(dealt.mapInArrow(run, "path string, records bigint, bytes bigint, harmed bigint"))
 
 
 def read_archives(paths: DataFrame, folder: str, *, path: str = "path", with_payload: bool = True, most: int = MOST) -> DataFrame:
@@ -305,10 +330,37 @@ def read_archives(paths: DataFrame, folder: str, *, path: str = "path", with_pay
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """The contract's columns, from archives written to the shared folder and read back."""
+    """The contract's columns, from archives written to the shared folder and read back.
+
+    The archives are its own, so a gap in them is an error and fails the query; no record is left out.
+    """
     folder = f"{shared_folder(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    written = write_archives(pages, folder)
-    return read_archives(written, folder, with_payload=False).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = read_archives(write_archives(pages, folder), folder, with_payload=False, most=OWN)
+    sound = F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(F.format_string("gap in %s at %d to %d: %s", "path", "start", "end", "gap")).cast("boolean"))
+    return back.where(sound).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def harmed(digest: str, data: bytes) -> tuple[bytes, int]:
+    """Damage by the first digit of the digest: a wrong checksum, half a member, false starts before a sound one."""
+    if digest[0] in "01":
+        return data[:-8] + bytes([data[-8] ^ 255]) + data[-7:], len(data)
+    if digest[0] in "23":
+        return data[: len(data) // 2], len(data) // 2
+    if digest[0] in "45":
+        false = _MAGIC + b"false start WARC/1.1\r\n\r\n"
+        return false + data, len(false)
+    return data, 0
+
+
+def salvage_digest(pages: DataFrame) -> DataFrame:
+    """Rehearsal over all pages: archives with damage, read back. The records that are left, and one row of type gap
+    whose payload_bytes are the damaged bytes that the gaps do not account for."""
+    folder = f"{shared_folder(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    written = write_archives(pages, folder, harm=harmed)
+    back = checkpointed(read_archives(written, folder, with_payload=False, most=OWN))
+    kept = back.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    gaps = back.where("gap is not null").select((F.col("end") - F.col("start")).alias("n")).unionByName(written.select((-F.col("harmed")).alias("n")))
+    return kept.unionByName(gaps.agg(F.lit(None).cast("bigint").alias("page_id"), F.abs(F.coalesce(F.sum("n"), F.lit(0))).alias("payload_bytes"), F.lit(None).cast("string").alias("payload_digest"), F.lit("gap").alias("record_type"), F.lit(None).cast("bigint").alias("refers_to")))
 
 
 SQL = """
@@ -318,3 +370,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
        CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
 FROM q
 """
+SALVAGE_SQL = f"""
+SELECT * FROM ({SQL}) WHERE substr(payload_digest, 1, 1) NOT IN ('0', '1', '2', '3')
+UNION ALL SELECT NULL, 0, NULL, 'gap', NULL
+"""
