@@ -1,4 +1,4 @@
-"""Engine settings: thresholds with their defaults, and the four injectable callables."""
+"""Engine settings: thresholds with their defaults, and the injectable callables."""
 
 from __future__ import annotations
 
@@ -11,14 +11,20 @@ class Hooks:
     """External models, as plain functions over lists; each default works offline.
 
     ``extract(content, path) -> list of page texts``; ``rewrite(texts) -> texts`` is the language model
-    that structures pages; ``embed(texts) -> vectors``; ``rerank(query, texts) -> scores``.
+    that structures pages, ``escalate`` a stronger one for pages where it fails; ``embed(texts) -> vectors``;
+    ``rerank(query, texts) -> scores``. A call to a language model is made ``attempts`` times at most, with twice the
+    wait each time, and given up after ``timeout_s``.
     """
 
     extract: Callable[[bytes, str], list[str]] | None = None
     rewrite: Callable[[Sequence[str]], list[str]] | None = None
     embed: Callable[[Sequence[str]], list[list[float]]] | None = None
     rerank: Callable[[str, Sequence[str]], list[float]] | None = None
+    escalate: Callable[[Sequence[str]], list[str]] | None = None
     least_interval_s: float = 0.0
+    attempts: int = 1
+    retry_wait_s: float = 1.0
+    timeout_s: float | None = None
 
 
 # Defaults that decide results.
@@ -26,6 +32,7 @@ class Hooks:
 class Settings:
     faithfulness_min: float = 0.85
     max_section_chars: int = 8000
+    min_section_chars: int = 40
     max_part_chars: int = 100_000
     structure_min_length_ratio: float = 0.35
     language_sample_chars: int = 4000
@@ -55,6 +62,7 @@ DEFAULT = Settings()
 # Settings that a workspace may override, by the key in its JSON settings.
 OVERRIDABLE = {
     "max_section_chars": "max_section_chars",
+    "min_section_chars": "min_section_chars",
     "chunk_tokens": "chunk_tokens",
     "chunk_overlap": "chunk_overlap",
     "max_md_chars": "max_part_chars",

@@ -97,6 +97,29 @@ def atlas_nodes(folders: DataFrame, docs: DataFrame) -> DataFrame:
     return folders.join(per, "folder_id", "left").select("folder_id", F.concat(text, F.lit("\n")).alias("markdown"))
 
 
+def rename(folders: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests: folder_id and any of name, description, one row a folder; null leaves a field as it is. Paths stay."""
+    fields = [c for c in ("name", "description") if c in requests.columns]
+    new = requests.select("folder_id", *[F.col(c).alias(f"new_{c}") for c in fields])
+    return folders.join(new, "folder_id", "left").withColumns({c: F.coalesce(f"new_{c}", c) for c in fields}).select(*folders.columns)
+
+
+def atlas_pages(folders: DataFrame, docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """scope, content_md: the nodes of changed folders (folder_id) and the index of all."""
+    touched = folders.join(changed.select("folder_id").distinct(), "folder_id", "left_semi")
+    nodes = atlas_nodes(touched, docs.join(touched.select("folder_id"), "folder_id", "left_semi"))
+    index = atlas_index(with_counts(folders, docs)).select(F.lit("index").alias("scope"), F.col("markdown").alias("content_md"))
+    return nodes.select(F.concat(F.lit("folder:"), F.col("folder_id").cast("string")).alias("scope"), F.col("markdown").alias("content_md")).unionByName(index)
+
+
+def put_atlas(atlas: DataFrame, pages: DataFrame) -> DataFrame:
+    """The atlas (scope, content_md, version) with pages (scope, content_md) put in: a known scope gets the next version, a new one 1."""
+    new = pages.select("scope", F.col("content_md").alias("new"), F.lit(True).alias("hit"))
+    both = atlas.join(new, "scope", "full_outer")
+    step = F.when(F.col("hit"), 1).otherwise(0)
+    return both.select("scope", F.when(F.col("hit"), F.col("new")).otherwise(F.col("content_md")).alias("content_md"), (F.coalesce("version", F.lit(0)) + step).cast("bigint").alias("version"))
+
+
 def atlas_tree(folders: DataFrame, docs: DataFrame) -> DataFrame:
     """path, depth, name, titles: the nested tree as flat rows; unfiled documents under a null path."""
     titles = docs.groupBy("folder_id").agg(F.array_sort(F.collect_list("title")).alias("titles"))

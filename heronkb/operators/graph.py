@@ -71,6 +71,11 @@ def entity_sections(found: DataFrame, norm: str, docs: DataFrame, most: int = 10
     return docs.join(hits, "doc_id").orderBy("doc_id", "position").limit(most)
 
 
+def size(known: DataFrame) -> DataFrame:
+    """n: how many entities the graph holds."""
+    return known.agg(F.count("*").alias("n"))
+
+
 def overview(known: DataFrame, links: DataFrame, nodes: int = 60, most: int = 500) -> DataFrame:
     """Heaviest edges among the most mentioned entities."""
     best = F.broadcast(known.orderBy(F.desc("mention_count"), "name", "norm").limit(nodes).select("norm"))  # nodes rows at most

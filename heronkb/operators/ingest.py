@@ -20,12 +20,22 @@ def structure(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     raw = routed.where("route <> 'rewrite'").withColumn("md", t.strip(F.coalesce(F.col("text"), F.lit(""))))
     if settings.hooks.rewrite is not None:
         told = rewritten(routed.where("route = 'rewrite'"), "text", "answer", settings.hooks)
+        if settings.hooks.escalate is not None:
+            told = _escalated(told, settings)
         kept = verify.preserve(F.col("text"), F.coalesce(t.strip(F.col("answer")), t.strip(F.col("text"))), settings)
         raw = raw.unionByName(told.withColumn("md", kept).drop("answer"))
     found = verify.report(F.coalesce(F.col("text"), F.lit("")), F.col("md"), settings.faithfulness_min, settings.target_language)
     return raw.withColumn("score", F.when(t.strip(F.coalesce(F.col("text"), F.lit(""))) == "", F.lit(1.0)).otherwise(found["score"]))
 
 
+def _escalated(told: DataFrame, settings: Settings) -> DataFrame:
+    """The pages with a second answer, from the stronger model, where the first one failed. Only those pages go to it."""
+    first = F.coalesce(t.strip(F.col("answer")), t.strip(F.col("text")))
+    failed = ~verify.report(F.col("text"), first, settings.faithfulness_min, settings.target_language)["passed"]
+    again = rewritten(told.withColumn("failed", failed), "text", "second", settings.hooks, settings.hooks.escalate, only="failed")
+    return again.withColumn("answer", verify.better(F.col("text"), first, t.strip(F.col("second")), settings)).drop("second", "failed")
+
+
 def assemble(pages: DataFrame, settings: Settings = DEFAULT, mask_secrets: bool = False) -> DataFrame:
     """doc_id, source, md, faithfulness, language, content_hash, pipeline_version: one row for each document."""
     ordered = F.array_sort(F.collect_list(F.struct("page_number", "md", "text")))

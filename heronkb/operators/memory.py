@@ -69,6 +69,14 @@ def turns_of(transcript: DataFrame, role: str = "role", text: str = "text") -> D
     return transcript.withColumn("content", transcript_line(F.col(role), F.col(text)))
 
 
+def transcript_turns(transcripts: DataFrame, text: str = "text") -> DataFrame:
+    """Transcripts that are one text: each line that isn't blank is a turn, numbered from 0 by its line, as content."""
+    rest = [c for c in transcripts.columns if c != text]
+    lines = F.split(F.col(text), "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]")
+    rows = transcripts.select(*rest, F.posexplode(lines).alias("turn", "line"))
+    return rows.select(*rest, F.col("turn").cast("bigint").alias("turn"), strip(F.col("line")).alias("content")).where("content <> ''")
+
+
 def facts_of(markdown: Column) -> Column:
     """Bullets under a heading about facts, decisions or takeaways; "(none)" is none.
 

@@ -89,8 +89,9 @@ def recent(log: DataFrame, limit: int = 200, key: str = "id") -> DataFrame:
     return log.orderBy(F.desc(key)).limit(limit)
 
 
-def outbox_due(outbox: DataFrame, limit: int = 20, settings: Settings = DEFAULT) -> DataFrame:
-    return outbox.where((F.col("status") == "pending") & (F.col("attempts") < settings.outbox_max_attempts)).orderBy("id").limit(limit)
+def outbox_due(outbox: DataFrame, limit: int = 20) -> DataFrame:
+    """The oldest pending rows; ``jobs.marked`` takes those out whose attempts are used up."""
+    return outbox.where("status = 'pending'").orderBy("id").limit(limit)
 
 
 def fan_out(events: DataFrame, hooks: DataFrame) -> DataFrame:

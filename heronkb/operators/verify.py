@@ -77,6 +77,13 @@ def structure_route(text: Column, enabled: bool = True, smart: bool = True) -> C
     return F.when(strip(text) == "", "empty").otherwise(raw.otherwise("rewrite"))
 
 
+def better(source: Column, first: Column, second: Column, settings: Settings = DEFAULT) -> Column:
+    """The second answer where the first fails verification and the second scores as much or more, else the first."""
+    score = lambda x: report(source, x, settings.faithfulness_min, settings.target_language)
+    one = score(first)
+    return F.when(~one["passed"] & second.isNotNull() & (score(second)["score"] >= one["score"]), second).otherwise(first)
+
+
 def preserve(source: Column, output: Column, settings: Settings = DEFAULT) -> Column:
     """The output, or the source where a long source has lost too much of its length."""
     lost = (F.length(output) < settings.structure_min_length_ratio * F.length(source)) & (F.length(source) > 200)

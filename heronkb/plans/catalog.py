@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import editing, folders, graph, ingest, memory, retrieval, sections, upkeep, verify
+from ..operators import editing, folders, graph, ingest, jobs, memory, retrieval, sections, upkeep, verify
 from ..sources import files
 from ..sources.tables import table
 from ..streaming import observe
@@ -660,10 +660,11 @@ def section_diff_whole(spark, sf):
     return editing.diff(found, edited)
 
 
-@query("WITH live AS (SELECT DISTINCT sha256(text) AS object_key FROM documents WHERE n_chars % 5 <> 0), stored AS (SELECT DISTINCT sha256(text) AS object_key FROM documents WHERE n_chars % 7 <> 0) SELECT object_key, 'orphan' AS state FROM stored WHERE object_key NOT IN (SELECT object_key FROM live) UNION ALL SELECT object_key, 'missing' FROM live WHERE object_key NOT IN (SELECT object_key FROM stored)")
+@query("WITH live AS (SELECT sha256(text) AS object_key FROM documents UNION SELECT sha256(html) FROM pages), stored AS (SELECT sha256(text) AS object_key FROM documents UNION SELECT sha256(text) FROM conversations) SELECT object_key, 'orphan' AS state FROM (SELECT * FROM stored EXCEPT SELECT * FROM live) UNION ALL SELECT object_key, 'missing' FROM (SELECT * FROM live EXCEPT SELECT * FROM stored)")
 def gc_orphans(spark, sf):
-    keys = lambda k: docs(spark, sf).where(F.col("n_chars") % k != 0).select(F.sha2("text", 256).alias("object_key"))
-    return upkeep.garbage(upkeep.live_keys(keys(5), keys(5).limit(0)), keys(7).distinct())
+    """Documents and pages are referred to, documents and turns of conversations are stored."""
+    keys = lambda name, text: table(spark, sf, name).select(F.sha2(text, 256).alias("object_key"))
+    return upkeep.garbage(upkeep.live_keys(keys("documents", "text"), keys("pages", "html")), upkeep.live_keys(keys("documents", "text"), keys("conversations", "text")))
 
 
 @query(f"WITH {JOBS} SELECT status, count(*) AS n FROM jobs GROUP BY status")
@@ -705,19 +706,22 @@ def event_fan_out(spark, sf):
     return upkeep.fan_out(table(spark, sf, "events").select("event_id", F.col("event_type").alias("event")), hooks)
 
 
-@query("SELECT l_orderkey AS job_id, l_linenumber AS page_number FROM lineitem WHERE l_linenumber > 3 OR l_orderkey % 2 = 0 EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT l_orderkey AS job_id, l_linenumber AS page_number FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
 def unfinished_pages(spark, sf):
     pages = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("page_number"), "l_returnflag")
-    wanted = pages.where("page_number > 3 OR job_id % 2 = 0").select("job_id", "page_number").distinct()
-    return upkeep.unfinished_pages(wanted, pages.where("l_returnflag = 'R'"))
+    return upkeep.unfinished_pages(pages.select("job_id", "page_number").distinct(), pages.where("l_returnflag = 'R'"))
 
 
-@query("WITH n AS (SELECT doc_id % 500 AS k, doc_id % 7 AS folder_id, 'f' || CAST(doc_id % 500 AS VARCHAR) AS filename, sha256(text) AS content_hash, doc_id FROM documents), inc AS (SELECT doc_id, CASE WHEN folder_id < 6 THEN folder_id END AS folder_id, filename, content_hash FROM n), old AS (SELECT CASE WHEN folder_id < 6 THEN folder_id END AS folder_id, filename, arg_min(doc_id, doc_id) AS old_id, arg_min(content_hash, doc_id) AS h, arg_min(doc_id % 3, doc_id) AS edits FROM n WHERE doc_id % 4 <> 0 GROUP BY 1, 2) SELECT doc_id, old_id AS existing_id, CASE WHEN old_id IS NULL THEN 'new' WHEN h = content_hash THEN 'unchanged' WHEN edits > 0 THEN 'pending' ELSE 'replace' END AS action FROM inc LEFT JOIN old ON inc.folder_id IS NOT DISTINCT FROM old.folder_id AND inc.filename = old.filename")
+@query("WITH inc AS (SELECT doc_id, CASE WHEN doc_id % 7 < 6 THEN doc_id % 7 END AS folder_id, 'f' || doc_id AS filename, text, lang, source FROM documents), old AS (SELECT doc_id AS old_id, folder_id, CASE WHEN source = 'src3' THEN 'was ' ELSE '' END || filename AS filename, sha256(text || CASE WHEN lang = 'en' THEN '' ELSE ' (old)' END) AS h, doc_id % 3 AS edits FROM inc) SELECT doc_id, old_id AS existing_id, CASE WHEN old_id IS NULL THEN 'new' WHEN h = sha256(text) THEN 'unchanged' WHEN edits > 0 THEN 'pending' ELSE 'replace' END AS action FROM inc LEFT JOIN old ON inc.folder_id IS NOT DISTINCT FROM old.folder_id AND inc.filename = old.filename")
 def reimport_actions(spark, sf):
+    """Every document comes again: those of one source were stored under another name, those not English with another text."""
     folder = F.when(F.col("doc_id") % 7 < 6, F.col("doc_id") % 7)
-    rows = docs(spark, sf).select("doc_id", folder.alias("folder_id"), F.concat(F.lit("f"), (F.col("doc_id") % 500).cast("string")).alias("filename"), F.sha2("text", 256).alias("content_hash"))
-    stored = rows.where("doc_id % 4 <> 0").withColumns({"pipeline_version": F.lit("v1"), "manual_edits": F.col("doc_id") % 3})
-    return editing.reimport_actions(rows, stored).select("doc_id", "existing_id", "action")
+    rows = docs(spark, sf).select("doc_id", folder.alias("folder_id"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename"), "text", "lang", "source")
+    name = F.concat(F.when(F.col("source") == "src3", "was ").otherwise(""), "filename")
+    text = F.concat("text", F.when(F.col("lang") == "en", "").otherwise(" (old)"))
+    stored = rows.select("doc_id", "folder_id", name.alias("filename"), F.sha2(text, 256).alias("content_hash"), F.lit("v1").alias("pipeline_version"), (F.col("doc_id") % 3).alias("manual_edits"))
+    incoming = rows.select("doc_id", "folder_id", "filename", F.sha2("text", 256).alias("content_hash"))
+    return editing.reimport_actions(incoming, stored).select("doc_id", "existing_id", "action")
 
 
 @query("SELECT o_custkey AS doc_id, max(o_orderkey) AS version_no, arg_max(o_orderpriority, o_orderkey) AS change_kind FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey")
@@ -757,10 +761,11 @@ def versions_created(spark, sf):
     return editing.create_versions(log, made, "pending", F.lit(_NOW).cast("timestamp")).drop("created_at")
 
 
-@query("SELECT o_custkey AS doc_id, o_orderkey AS version_no, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_custkey % 3 = 0 THEN 'discarded' ELSE 'pending' END ELSE 'applied' END AS state FROM orders")
+@query("SELECT o_custkey AS doc_id, o_orderkey AS version_no, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') THEN 'discarded' ELSE 'pending' END ELSE 'applied' END AS state FROM orders")
 def versions_discarded(spark, sf):
-    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("version_no"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("applied").alias("state"))
-    return editing.discard_pending(rows, rows.where("doc_id % 3 = 0"))
+    orders = table(spark, sf, "orders")
+    rows = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("version_no"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("applied").alias("state"))
+    return editing.discard_pending(rows, orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("doc_id")))
 
 
 @query("SELECT o_custkey AS doc_id, o_orderkey AS version_no, CAST(length(o_orderpriority) AS BIGINT) AS n_chars, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS newest FROM orders")
@@ -775,25 +780,97 @@ def revision_list(spark, sf):
     return editing.revisions_of(rows).select("doc_id", "section_id", "rev", "changed")
 
 
-@query(f"WITH {FOLDERS} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Renamed ' || doc_id ELSE title END AS title, CASE WHEN doc_id % 20 = 0 THEN 1 ELSE folder_id END AS folder_id FROM filed")
+@query(f"WITH {FOLDERS} SELECT doc_id, CASE WHEN folder_id IS NULL THEN 'Filed ' || doc_id ELSE title END AS title, CASE WHEN folder_id IS NULL AND doc_id % 2 = 0 THEN 1 ELSE folder_id END AS folder_id FROM filed")
 def documents_updated(spark, sf):
+    """Documents that lie in no folder get a title, and every other one a folder."""
     rows = views.filed(spark, sf)
-    wanted = rows.where("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("Renamed "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 20 == 0, F.lit(1).cast("bigint")).alias("folder_id"))
+    wanted = rows.where("folder_id is null").select("doc_id", F.concat(F.lit("Filed "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 2 == 0, F.lit(1).cast("bigint")).alias("folder_id"))
     return editing.update_documents(rows, wanted)
 
 
-@query(f"WITH {SECTIONS} SELECT 'documents' AS name, count(*) AS n FROM documents WHERE doc_id % 4 <> 0 UNION ALL SELECT 'sections', count(*) FROM raw_sections WHERE doc_id % 4 <> 0")
+@query(f"WITH {SECTIONS}, gone AS (SELECT doc_id FROM documents WHERE source = 'src3') SELECT 'documents' AS name, count(*) AS n FROM documents WHERE doc_id NOT IN (FROM gone) UNION ALL SELECT 'sections', count(*) FROM raw_sections WHERE doc_id NOT IN (FROM gone)")
 def documents_deleted(spark, sf):
-    """What is left of two tables when every fourth document is deleted."""
-    left = editing.delete_documents({"documents": docs(spark, sf), "sections": sections.split_sections(views.md_docs(spark, sf))}, docs(spark, sf).where("doc_id % 4 = 0"))
+    """What is left of two tables when all documents of a source are deleted."""
+    left = editing.delete_documents({"documents": docs(spark, sf), "sections": sections.split_sections(views.md_docs(spark, sf))}, docs(spark, sf).where("source = 'src3'"))
     return left["documents"].agg(F.count("*").alias("n")).select(F.lit("documents").alias("name"), "n").unionByName(left["sections"].agg(F.count("*").alias("n")).select(F.lit("sections").alias("name"), "n"))
 
 
-@query("SELECT c_custkey AS workspace_id, CASE WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0.85 END::DOUBLE AS faithfulness_min, CASE WHEN c_custkey % 3 = 0 THEN 100 ELSE 512 END::DOUBLE AS chunk_tokens FROM customer")
+# Queue, outbox, originals and atlas.
+
+
+@query(f"WITH {JOBS} SELECT job_id, 'running' AS status, attempts FROM jobs WHERE status = 'queued' ORDER BY job_id LIMIT 10")
+def jobs_claimed(spark, sf):
+    return jobs.claim(views.jobs(spark, sf), F.lit(_NOW).cast("timestamp"), 10).select("job_id", "status", "attempts")
+
+
+@query(f"WITH {JOBS} SELECT job_id, CASE WHEN status = 'error' THEN 'queued' ELSE status END AS status, attempts + CASE WHEN status = 'error' THEN 1 ELSE 0 END AS attempts, CASE WHEN status = 'error' THEN '12' END AS pages_total, CASE WHEN event_id % 3 = 0 THEN v / 100 END AS confidence FROM jobs")
+def jobs_updated(spark, sf):
+    """All jobs after the failed ones are queued again with a page count merged into their payload."""
+    rows = views.jobs(spark, sf)
+    again = rows.where("status = 'error'").select("job_id", F.lit("queued").alias("status"), (F.col("attempts") + 1).alias("attempts"), F.lit('{"pages_total": "12"}').alias("payload"))
+    done = jobs.apply(rows, again, F.lit(_NOW).cast("timestamp"))
+    return done.select("job_id", "status", "attempts", F.get_json_object("payload", "$.pages_total").alias("pages_total"), F.get_json_object("payload", "$.extract_confidence").try_cast("double").alias("confidence"))
+
+
+def _outbox(spark, sf):
+    status = F.when(F.col("event_type") == "signup", "done").otherwise("pending")
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lit("webhook").alias("aggregate"), F.lit("deliver").alias("op"), F.col("props").alias("payload"), status.alias("status"), (F.col("event_id") % 7).alias("attempts"), "event_type")
+
+
+_OUTBOX = "outbox AS (SELECT event_id AS id, CASE WHEN event_type = 'signup' THEN 'done' ELSE 'pending' END AS status, event_id % 7 AS attempts, event_type FROM events)"
+
+
+@query(f"WITH {_OUTBOX} SELECT id, attempts FROM outbox WHERE status = 'pending' ORDER BY id LIMIT 50")
+def outbox_due(spark, sf):
+    return upkeep.outbox_due(_outbox(spark, sf), 50).select("id", "attempts")
+
+
+@query(f"WITH {_OUTBOX} SELECT id, CASE event_type WHEN 'signup' THEN 'done' WHEN 'view' THEN 'done' WHEN 'click' THEN 'failed' ELSE CASE WHEN attempts < 5 THEN 'pending' ELSE 'failed' END END AS status, attempts + CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END AS attempts FROM outbox")
+def outbox_marked(spark, sf):
+    """The outbox after an attempt at all that is pending: views are sent, clicks refused, the rest fails."""
+    rows = _outbox(spark, sf)
+    result = F.when(F.col("event_type") == "view", "sent").when(F.col("event_type") == "click", "refused").otherwise("failed")
+    return jobs.marked(rows, rows.where("status = 'pending'").select("id", result.alias("result"))).select("id", "status", "attempts")
+
+
+@query("WITH a AS (SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS id, 'k-' || l_linenumber AS object_key FROM lineitem WHERE l_returnflag = 'N'), s AS (SELECT doc_id, arg_min(object_key, id) AS object_key FROM a GROUP BY doc_id), d AS (SELECT o_orderkey AS doc_id FROM orders WHERE o_orderstatus <> 'F') SELECT doc_id, object_key, CASE WHEN object_key IS NULL THEN 'no stored original' WHEN object_key LIKE '%-1' THEN 'original missing' ELSE 'reindex' END AS state FROM d LEFT JOIN s USING (doc_id)")
+def reindex_plan(spark, sf):
+    """Orders as documents, items as assets: finished orders are up to date, the return flag tells originals, first items are lost."""
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("k-"), F.col("l_linenumber").cast("string")).alias("object_key"), F.when(F.col("l_returnflag") == "N", "source").otherwise("figure").alias("kind"))
+    made = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "v1").otherwise("v0").alias("pipeline_version"))
+    return jobs.reindex_plan(made, items, items.where("object_key not like '%-1'"))
+
+
+@query(f"WITH {FOLDERS} SELECT folder_id, CASE WHEN parent_id IS NULL THEN 'Region ' || name ELSE name END AS name, path FROM folders")
+def folder_rename(spark, sf):
+    rows = views.folders(spark, sf)
+    return folders.rename(rows, rows.where("parent_id is null").select("folder_id", F.concat(F.lit("Region "), "name").alias("name"))).select("folder_id", "name", "path")
+
+
+@query(f"WITH {FOLDERS} SELECT 'folder:' || folder_id AS scope, CASE WHEN parent_id IS NULL THEN 1 ELSE 2 END AS version FROM folders UNION ALL SELECT 'index', 2")
+def atlas_versions(spark, sf):
+    """An atlas that is made once and refreshed for the folders below the top."""
+    rows, held = views.folders(spark, sf), views.filed(spark, sf).withColumns({"summary": F.lit(""), "section_count": F.lit(0)})
+    first = folders.put_atlas(spark.createDataFrame([], "scope string, content_md string, version bigint"), folders.atlas_pages(rows, held, rows))
+    return folders.put_atlas(first, folders.atlas_pages(rows, held, rows.where("parent_id is not null"))).select("scope", "version")
+
+
+@query("WITH l AS (SELECT doc_id AS session_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) SELECT session_id, CAST(i - 1 AS BIGINT) AS turn, trim(line) AS content FROM l WHERE trim(line) <> ''")
+def transcript_turns(spark, sf):
+    """Every document read as a transcript of one turn a line."""
+    return memory.transcript_turns(docs(spark, sf).select(F.col("doc_id").alias("session_id"), "text"))
+
+
+@query(f"WITH {_ENTITIES} SELECT count(*) AS n FROM entities")
+def graph_size(spark, sf):
+    return graph.size(graph.entities(_mentions(spark, sf)))
+
+
+@query("SELECT c_custkey AS workspace_id, CASE WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0.85 END::DOUBLE AS faithfulness_min, CASE WHEN c_custkey % 3 = 0 THEN 100 ELSE 512 END::DOUBLE AS chunk_tokens, 40::DOUBLE AS min_section_chars FROM customer")
 def workspace_settings(spark, sf):
     json = F.concat(F.lit("{"), F.concat_ws(", ", F.when(F.col("c_custkey") % 2 == 0, F.lit('"faithfulness_min": 0.9')), F.when(F.col("c_custkey") % 3 == 0, F.lit('"chunk_tokens": 100'))), F.lit("}"))
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("workspace_id"), json.alias("settings"))
-    return upkeep.workspace_settings(rows).select("workspace_id", "faithfulness_min", "chunk_tokens")
+    return upkeep.workspace_settings(rows).select("workspace_id", "faithfulness_min", "chunk_tokens", "min_section_chars")
 
 
 @query("SELECT 'passthrough' AS name, true AS available UNION ALL SELECT n, false FROM (VALUES ('tika'), ('docling'), ('azure_di'), ('vision_llm'), ('marker'), ('aws_textract'), ('google_docai'), ('mistral_ocr'), ('unstructured'), ('llamaparse')) t(n)")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,23 +14,42 @@ from pyspark.sql import types as T
 from ..config import Hooks
 
 
-def rewritten(rows: DataFrame, source: str, target: str, hooks: Hooks) -> DataFrame:
-    """Adds the language model's answer to a text column; null where it fails, so that callers keep the source.
+def asked(model: Callable[[Sequence[str]], list[str]], texts: list[str], attempts: int, wait_s: float, timeout_s: float | None) -> list[str | None]:
+    """The model's answers, or nulls once every attempt has failed, taken too long, or answered for another number of texts."""
+    for n in range(max(attempts, 1)):
+        if n:
+            time.sleep(wait_s * 2 ** (n - 1))
+        worker = ThreadPoolExecutor(1)
+        try:
+            answers = list(worker.submit(model, texts).result(timeout_s))
+            if len(answers) == len(texts):
+                return answers
+        except Exception:  # noqa: BLE001, S110  any failure of the model leaves the text as it was
+            pass
+        finally:
+            worker.shutdown(wait=False)
+    return [None] * len(texts)
+
+
+def rewritten(rows: DataFrame, source: str, target: str, hooks: Hooks, model: Callable[[Sequence[str]], list[str]] | None = None, only: str | None = None) -> DataFrame:
+    """Adds the answer of a language model (``hooks.rewrite`` by default) to a text column; null where it fails, so
+    that callers keep the source. With ``only``, rows where that column isn't true are not sent.
 
     ``least_interval_s`` is the least time between two calls of one task.
     """
-    model, pause = hooks.rewrite, hooks.least_interval_s
+    model, pause = model or hooks.rewrite, hooks.least_interval_s
+    bounds = hooks.attempts, hooks.retry_wait_s, hooks.timeout_s
     shape = T.StructType([*rows.schema.fields, T.StructField(target, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = 0.0
         for batch in batches:
-            time.sleep(max(0.0, last + pause - time.monotonic()))
-            last = time.monotonic()
-            try:
-                answers = list(model(batch[source].fillna("").tolist()))
-            except Exception:  # noqa: BLE001  any failure of the model leaves the text as it was
-                answers = [None] * len(batch)
+            sent = batch[only].fillna(False).astype(bool) if only else pd.Series(True, batch.index)
+            answers = pd.Series([None] * len(batch), batch.index, dtype=object)
+            if sent.any():
+                time.sleep(max(0.0, last + pause - time.monotonic()))
+                last = time.monotonic()
+                answers[sent] = asked(model, batch[source][sent].fillna("").tolist(), *bounds)
             yield batch.assign(**{target: answers})
 
     return rows.mapInPandas(run, shape)

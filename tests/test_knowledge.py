@@ -1,13 +1,14 @@
 """Retrieval, graph, memory, folders, editing, upkeep, files and streams."""
 
 import math
+import time
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from heronkb.config import DEFAULT, Hooks
-from heronkb.operators import editing, folders, graph, memory, retrieval, upkeep
+from heronkb.operators import editing, folders, graph, ingest, jobs, memory, retrieval, upkeep
 from heronkb.sources import files, hooks
 from heronkb.streaming import observe
 
@@ -296,3 +297,69 @@ def test_an_unknown_tier_is_refused(spark):
     rows = log(spark, [(1, "a", "shared", "imaginary", "", "", "x", 1.0, at(0), at(0))])
     with pytest.raises(Exception, match="unknown tier"):
         memory.remember(rows).collect()
+
+
+def test_queue_and_outbox(spark):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    made = jobs.create(spark.createDataFrame([(1, 7, '{"filename": "a"}'), (2, 8, None)], "job_id bigint, doc_id bigint, payload string"), now)
+    assert [(r.job_id, r.status) for r in jobs.claim(made, now).collect()] == [(1, "running")]
+    after = {r.job_id: r for r in jobs.apply(made, spark.createDataFrame([(1, "done", '{"pages_total": "3"}')], "job_id bigint, status string, payload string"), now).collect()}
+    assert (after[1].status, after[1].payload, after[2].status, after[2].payload) == ("done", '{"filename":"a","pages_total":"3"}', "queued", None)
+
+    def send(aggregate, op, payload):
+        if payload == "down":
+            raise OSError
+        return payload == "ok"
+
+    box = spark.createDataFrame([(1, "webhook", "deliver", "ok", "pending", 0), (2, "webhook", "deliver", "unsafe", "pending", 0), (3, "asset", "delete", "down", "pending", 1), (4, "asset", "delete", "down", "pending", 5), (5, "asset", "delete", "ok", "done", 1)], "id bigint, aggregate string, op string, payload string, status string, attempts int")
+    due = upkeep.outbox_due(box)
+    assert {r.id: (r.status, r.attempts) for r in jobs.marked(box, jobs.deliver(due, send)).collect()} == {1: ("done", 1), 2: ("failed", 1), 3: ("pending", 2), 4: ("failed", 6), 5: ("done", 1)}
+
+
+def test_log_rows_and_lookups(spark):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    rows = spark.createDataFrame([(1, "x" * 2000), (2, None)], "workspace_id bigint, detail string")
+    assert [len(r.detail) for r in jobs.audit_rows(rows, "edit", now).orderBy("workspace_id").collect()] == [1000, 0]
+    assets = spark.createDataFrame([(2, 1, "source", "b"), (1, 1, "source", "a"), (3, 2, "figure", "c")], "id bigint, doc_id bigint, kind string, object_key string")
+    assert [tuple(r) for r in jobs.source_assets(assets).collect()] == [(1, "a")] and jobs.asset_rows(assets).where("mime = ''").count() == 3
+    docs = spark.createDataFrame([(1, "v0"), (2, None), (3, "v1")], "doc_id bigint, pipeline_version string")
+    plan = lambda keys, **kw: {r.doc_id: r.state for r in jobs.reindex_plan(docs, assets, spark.createDataFrame([(k,) for k in keys], "object_key string"), **kw).collect()}
+    assert plan(["a"]) == {1: "reindex", 2: "no stored original"}
+    assert plan(["z"], only_stale=False) == {1: "original missing", 2: "no stored original", 3: "no stored original"}
+    assert {r.id for r in jobs.lookup(assets, spark.createDataFrame([("a",), ("a",), (None,)], "object_key string"), "object_key").collect()} == {1}
+    assert jobs.missing_tables(spark, ["no_such_table"]) == ["no_such_table"]
+    edited = spark.createDataFrame([(1, 5, 2, "text")], "doc_id bigint, section_id bigint, rev bigint, content string")
+    assert jobs.revision_rows(edited, now, "me").first().author == "me"
+
+
+def test_transcripts_of_one_text(spark):
+    rows = spark.createDataFrame([(1, "a: hello\r\n\r\n  b: there  c"), (2, ""), (3, None)], "session_id bigint, text string")
+    assert [tuple(r) for r in memory.transcript_turns(rows).orderBy("turn").collect()] == [(1, 0, "a: hello"), (1, 2, "b: there"), (1, 3, "c")]
+
+
+def test_atlas_versions_and_names(spark, tree):
+    held = spark.createDataFrame([(1, 1, "T", "", 2)], "doc_id bigint, folder_id bigint, title string, summary string, section_count int")
+    none = spark.createDataFrame([], "scope string, content_md string, version bigint")
+    pages = folders.atlas_pages(tree, held, tree.where("folder_id = 1"))
+    again = folders.put_atlas(folders.put_atlas(none, pages), pages.where("scope = 'index'"))
+    assert {r.scope: r.version for r in again.collect()} == {"folder:1": 1, "index": 2}
+    new = folders.rename(tree, spark.createDataFrame([(1, "New")], "folder_id bigint, name string"))
+    assert new.where("folder_id = 1").first().name == "New" and new.count() == tree.count()
+
+
+def test_models_are_asked_again_and_the_stronger_where_the_first_fails(spark):
+    calls = []
+
+    def flaky(xs):
+        calls.append(len(xs))
+        if len(calls) < 3:
+            raise OSError
+        return list(xs)
+
+    assert hooks.asked(flaky, ["a"], 3, 0.0, None) == ["a"] and hooks.asked(lambda xs: [], ["a"], 2, 0.0, None) == [None]
+    assert hooks.asked(lambda xs: time.sleep(0.5) or xs, ["a"], 1, 0.0, 0.05) == [None]
+    text = "pump 12 moves water through long pipes " * 3
+    pages = spark.createDataFrame([(1, 1, text), (2, 1, "valve " + text)], "doc_id bigint, page_number int, text string")
+    settings = replace(DEFAULT, hooks=Hooks(rewrite=lambda xs: [x if x.startswith("valve") else "nothing of it" for x in xs], escalate=lambda xs: ["# P\n\n" + x for x in xs]))
+    got = {r.doc_id: r.md for r in ingest.structure(pages, settings).where("route = 'rewrite'").collect()}
+    assert got == {1: "# P\n\n" + text.strip(), 2: ("valve " + text).strip()}
