@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .recovery import checkpointed
 
-SHARDS, VIRTUAL, SALT = 24, 64, 16
-_SLOT_BITS = 14
+SHARDS, VIRTUAL = 24, 64
+_SLOT_BITS, _SALT_BITS = 14, 12
 
 
 def points(shards: int, virtual: int) -> list[tuple[int, int]]:
@@ -77,14 +77,16 @@ def assign(docs: DataFrame, *, shards: int = SHARDS, virtual: int = VIRTUAL, doc
     rows = checkpointed(
         docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(content).cast("bigint") + 8).alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"))
         .withColumn("arc", F.element_at(slices, slot + 1))
-        .withColumn("salt", F.pmod(F.xxhash64("text_crc32", "size", "doc_id"), F.lit(SALT)).cast("int"))
+        .withColumn("hash", F.xxhash64("text_crc32", "size", "doc_id"))
+        # Rows of an arc stand in the order of their hash, so its first bits split them and change no result.
+        .withColumn("salt", F.shiftrightunsigned("hash", 64 - _SALT_BITS).cast("int"))
     )
     counts = rows.groupBy("arc", "salt").agg(F.count("*").alias("n"))
     settled = settle({r.arc: r.n for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}, ring, shards)  # shards x virtual rows at most
     runs = spark.createDataFrame(settled, "arc int, first bigint, n bigint, shard int, first_slot bigint")
     before = W.partitionBy("arc").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("arc", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("arc", "salt").orderBy("doc_id", "text_crc32", "size")
+    inside = W.partitionBy("arc", "salt").orderBy("hash", "doc_id", "text_crc32", "size")
     ranked = rows.withColumn("nth", F.row_number().over(inside).cast("bigint") - 1).join(bases, ["arc", "salt"]).withColumn("nth", F.col("nth") + F.col("base"))
     # The settlement's size is bounded by the ring alone.
     placed = ranked.join(F.broadcast(runs), (ranked["arc"] == runs["arc"]) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("first") + F.col("n")))
