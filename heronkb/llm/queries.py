@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontam, licenses, order_minhash, packing, pii, ring, simhash, toxicity, urlfilter, warc
+from . import alignment, collocations, curriculum, decontam, licenses, order_minhash, packing, pii, ring, simhash, toxicity, urlfilter, warc
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(_t(spark, sf_dir, "documents"))
 
 
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.digest(_t(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(_t(spark, sf_dir, "documents"))
+
+
 def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9's operator over pages that name aliases, which the pages of the table hardly do."""
     return urlfilter.alias_digest(_t(spark, sf_dir, "pages"))
@@ -67,7 +75,7 @@ def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_order_minhash, op3_simhash, op4_toxicity, op5_pii, op6_warc, op7_licenses, op8_ring, op9_url_filter, op10_pack, op11_align, url_aliases, warc_salvage)
+    for f in (op1_decontaminate, op2_order_minhash, op3_simhash, op4_toxicity, op5_pii, op6_warc, op7_licenses, op8_ring, op9_url_filter, op10_pack, op11_align, op12_mix, op13_collocations, url_aliases, warc_salvage)
 }
 #: The others are tested against brute force in tests/llm: SQL has no XXH64, sequential packing, positions of
 #: matches or learned weights.
@@ -76,5 +84,7 @@ SQL = {
     "op6_warc": warc.SQL,
     "warc_salvage": warc.SALVAGE_SQL,
     "op9_url_filter": urlfilter.sql(),
+    "op12_mix": curriculum.sql(),
+    "op13_collocations": collocations.SQL,
     "url_aliases": urlfilter.sql(urlfilter.ALIAS_PAGES),
 }
