@@ -2,8 +2,8 @@
 
 Base kinds are ``email``, ``ip``, ``card`` (13 to 19 digits that pass Luhn) and ``phone`` (9 to 15
 digits), leftmost and non-overlapping within a kind; a proposal that fails its check is dropped and
-nothing inside it is tried again. Every span has a score: a start value for its kind, raised by fitting
-and lowered by contrary words within ``CONTEXT`` characters on either side. The method adds ``iban``
+nothing inside it is tried again. Every span has a score: a start value for its kind, raised by a fitting
+or lowered by a contrary word within ``CONTEXT`` characters, the nearest one before it first. The method adds ``iban``
 (length of its country, mod-97, either case) and ``ssn`` (number ranges); these stay if their score
 reaches ``least_score``. Base spans stay if theirs reaches ``least_base``, 0 by default, as the contract
 keeps them all.
@@ -17,7 +17,7 @@ proportion to the text, also on very long runs of digits, dots or letters.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -141,10 +141,22 @@ def _iban_end(text: str, start: int, length: int) -> int:
     return at if length and len(code) == length and not (after.isascii() and after.isalnum()) and mod97("".join(code)) else 0
 
 
+def _weight(words: Iterable[str], kind: str) -> float:
+    """What the first word that says anything says."""
+    return next((RAISED if w in _RAISE[kind] else -LOWERED for w in words if w in _RAISE[kind] or w in _LOWER), 0.0)
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
-    near = set(_WORD.findall(text[max(0, start - CONTEXT) : start].lower())) | set(_WORD.findall(text[end : end + CONTEXT].lower()))
-    score = _PRIOR[kind] + RAISED * bool(near & _RAISE[kind]) - LOWERED * bool(near & _LOWER)
-    return round(min(1.0, max(0.0, score)), 2)
+    """The nearest telling word before a span decides, else the nearest after it.
+
+    A contrary word before it gives way to a fitting one after it, unless that one stands before the next number.
+    """
+    after = text[end : end + CONTEXT].lower()
+    before = _weight(reversed(_WORD.findall(text[max(0, start - CONTEXT) : start].lower())), kind)
+    behind = _weight(_WORD.findall(after), kind)
+    if before < 0 < behind and not _DIGIT.search(after):
+        before = behind
+    return round(min(1.0, max(0.0, _PRIOR[kind] + (before or behind))), 2)
 
 
 def spans_of(text: str | None, least_score: float = LEAST_SCORE, least_base: float = LEAST_BASE) -> list[Span]:
