@@ -19,6 +19,8 @@ from ..functions.text import let, tokens
 K1, B = 1.2, 0.75
 #: Query vectors that are sent to every task at once; more are taken in blocks.
 BLOCK_ROWS = 20_000
+#: Query terms that are sought inside each row; the terms of more queries are joined.
+FEW_TERMS = 64
 
 
 def blocks_of(queries: DataFrame, key: str = "query_id") -> list[DataFrame]:
@@ -59,9 +61,17 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _matches(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Postings of the query terms only, with document lengths."""
+    """Postings of the query terms only, with document lengths.
+
+    Up to ``FEW_TERMS`` distinct terms are sought and counted inside each row, so nothing else leaves it; more are joined.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("bigint"))
     wanted = terms.select("term").distinct()
+    few = [r.term for r in wanted.limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:
+        held = F.array_intersect("toks", F.array(*map(F.lit, few)).cast("array<string>"))
+        found = rows.where(F.size(held) > 0).select("doc_id", "dl", "toks", F.explode(held).alias("term"))
+        return found.select("doc_id", "term", "dl", (F.col("dl") - F.size(F.array_remove("toks", F.col("term")))).alias("tf"))
     return rows.select("doc_id", "dl", F.explode("toks").alias("term")).join(wanted, "term").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 

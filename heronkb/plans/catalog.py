@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import editing, folders, graph, ingest, jobs, memory, retrieval, sections, upkeep, verify
+from ..operators import editing, folders, graph, ingest, jobs, memory, retrieval, search_index, sections, upkeep, verify
 from ..sources import files
 from ..sources.tables import table
 from ..streaming import observe
@@ -373,6 +373,29 @@ def lexical_or(spark, sf):
     return _hydrated(retrieval.top(retrieval.lexical(docs(spark, sf), views.search_queries(spark), match_all=False), 10), spark, sf)
 
 
+_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored{}) SELECT query_id, doc_id, score, rank, lang, n_chars FROM r JOIN documents USING (doc_id) WHERE rank <= 10"
+
+
+@query(f"WITH {_BM25}, {_RANKED.format(' WHERE found = n_terms')}")
+def indexed_and(spark, sf):
+    """The search of lexical_and, from a stored index."""
+    folder = search_index.built(docs(spark, sf))
+    return _hydrated(search_index.search(spark, folder, views.search_queries(spark)), spark, sf)
+
+
+_EDITED = "documents AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' de la les' ELSE text END AS text, lang, n_chars FROM main.documents WHERE source <> 'src3')"
+
+
+@query(f"WITH {_EDITED}, {_BM25}, {_RANKED.format('')}")
+def indexed_edits(spark, sf):
+    """Any term, from an index whose French documents were rewritten and of which a source was removed after it was built."""
+    all_ = docs(spark, sf)
+    folder = search_index.built(all_)
+    search_index.replace(all_.where("lang = 'fr'").select("doc_id", F.concat("text", F.lit(" de la les")).alias("text")), folder)
+    search_index.remove(all_.where("source = 'src3'"), folder)
+    return _hydrated(search_index.search(spark, folder, views.search_queries(spark), match_all=False), spark, sf)
+
+
 @query(
     "WITH pairs AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10"
