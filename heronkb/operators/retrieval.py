@@ -6,6 +6,7 @@ for all of them, keeps only the query terms it holds, and the rest is aggregated
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -49,23 +50,26 @@ def _runs(ordered: Column) -> Column:
     return let(ordered, of)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term, n_terms: distinct terms of each query."""
-    found = F.array_distinct(tokens("query"))
+Analyse = Callable[[Column], Column]
+
+
+def query_terms(queries: DataFrame, analyse: Analyse = tokens) -> DataFrame:
+    """query_id, term, n_terms: distinct terms of each query; a query of stop words alone has none, and finds nothing."""
+    found = F.array_distinct(analyse(F.col("query")))
     return queries.select("query_id", F.size(found).cast("bigint").alias("n_terms"), F.explode(found).alias("term"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
+def corpus_stats(docs: DataFrame, text: str = "text", analyse: Analyse = tokens) -> DataFrame:
     """n_docs, avgdl: one row, worth keeping beside a corpus that is searched often."""
-    return docs.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return docs.select(F.size(analyse(F.coalesce(F.col(text), F.lit("")))).cast("bigint").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def _matches(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _matches(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, analyse: Analyse = tokens) -> DataFrame:
     """Postings of the query terms only, with document lengths.
 
     Up to ``FEW_TERMS`` distinct terms are sought and counted inside each row, so nothing else leaves it; more are joined.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("bigint"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), analyse(F.coalesce(F.col(text), F.lit(""))).alias("toks")).withColumn("dl", F.size("toks").cast("bigint"))
     wanted = terms.select("term").distinct()
     few = [r.term for r in wanted.limit(FEW_TERMS + 1).collect()]
     if len(few) <= FEW_TERMS:
@@ -75,21 +79,23 @@ def _matches(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataF
     return rows.select("doc_id", "dl", F.explode("toks").alias("term")).join(wanted, "term").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def lexical(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, scorer: str = "bm25", stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lexical(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, scorer: str = "bm25", stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", analyse: Analyse = tokens) -> DataFrame:
     """query_id, doc_id, score for each match: all terms of a query, or any.
 
+    ``analyse`` makes terms of texts and queries alike (see ``functions.language.analyser``).
+
     ``stats`` (see ``corpus_stats``) saves the pass over the corpus that finds its size and mean length.
 
     Scores are Okapi BM25 (k1 1.2, b 0.75) over the whole corpus, or plain term frequency, rounded to
     six places so that ranks don't hang on the order of a sum.
     """
-    return scores(docs, queries, match_all=match_all, stats=stats, doc_id=doc_id, text=text).select("query_id", "doc_id", F.col(scorer).alias("score"))
+    return scores(docs, queries, match_all=match_all, stats=stats, doc_id=doc_id, text=text, analyse=analyse).select("query_id", "doc_id", F.col(scorer).alias("score"))
 
 
-def scores(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", analyse: Analyse = tokens) -> DataFrame:
     """query_id, doc_id, bm25, tf: both scores of each match from one pass over the postings."""
-    terms = query_terms(queries)
-    hits, whole = _matches(docs, terms, doc_id, text), corpus_stats(docs, text) if stats is None else stats
+    terms = query_terms(queries, analyse)
+    hits, whole = _matches(docs, terms, doc_id, text, analyse), corpus_stats(docs, text, analyse) if stats is None else stats
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     joined = hits.join(terms, "term").join(df, "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import language
 from ..functions import text as t
 from ..operators import editing, folders, graph, ingest, jobs, memory, retrieval, search_index, sections, upkeep, verify
 from ..sources import files
@@ -383,6 +384,32 @@ def indexed_and(spark, sf):
     return _hydrated(search_index.search(spark, folder, views.search_queries(spark)), spark, sf)
 
 
+#: Language, and words that its stop list and endings change.
+_SPOKEN = ((1, "the ingly hested", "en"), (2, "les ations une", "fr"), (3, "der ungen cht", "de"), (4, "la ciones ados", "es"), (5, "the of and", "en"))
+_CONFIGS = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
+_TERMS = lambda text: "CASE lang " + " ".join(f"WHEN '{code}' THEN list_transform({language.sql(f'regexp_extract_all(lower({text}), {chr(39)}{t.WORD}{chr(39)})', name)}, lambda x: '{name}:' || x)" for code, name in _CONFIGS.items()) + f" ELSE regexp_extract_all(lower({text}), '{t.WORD}') END"
+
+
+@query(f"WITH a AS (SELECT doc_id, {_TERMS('text')} AS terms FROM documents) SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM a) GROUP BY doc_id, term")
+def analysed_terms(spark, sf):
+    """Stems of all documents by their language, with counts."""
+    rows = docs(spark, sf).select("doc_id", F.explode(language.analyser()(F.col("text"))).alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query(
+    f"WITH q(query_id, query, lang) AS (SELECT CAST(a AS BIGINT), b, c FROM (VALUES {', '.join(map(repr, _SPOKEN))}) v(a, b, c)), a AS (SELECT doc_id, {_TERMS('text')} AS terms FROM documents), "
+    f"postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM a) GROUP BY doc_id, term), whole AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM a), "
+    f"qt AS (SELECT DISTINCT query_id, unnest({_TERMS('query')}) AS term FROM q), nt AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY query_id), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term), "
+    "scored AS (SELECT query_id, doc_id, n_terms, count(*) AS found, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(terms) / avgdl))), 6) AS score "
+    f"FROM postings JOIN qt USING (term) JOIN nt USING (query_id) JOIN df USING (term) JOIN a USING (doc_id), whole GROUP BY query_id, doc_id, n_terms), {_RANKED.format(' WHERE found = n_terms')}"
+)
+def language_search(spark, sf):
+    """Queries in four languages against the documents of theirs: all stems that are left must occur; stop words alone find nothing."""
+    asked = spark.createDataFrame(list(_SPOKEN), "query_id bigint, query string, lang string")
+    return _hydrated(retrieval.top(retrieval.lexical(docs(spark, sf), asked, analyse=language.analyser()), 10), spark, sf)
+
+
 _EDITED = "documents AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' de la les' ELSE text END AS text, lang, n_chars FROM main.documents WHERE source <> 'src3')"
 
 
