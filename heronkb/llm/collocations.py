@@ -37,7 +37,7 @@ from .recovery import checkpointed
 from .words import mix
 
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
-BLOCK_WORDS, FILTER_BITS = 1_500_000, 27
+BLOCK_WORDS, FILTER_BITS = 600_000, 27
 _ROWS = 100_000
 _TIERS = (4096, 64)
 _MARK = b"."
@@ -134,6 +134,7 @@ def intervals(x: np.ndarray, order: np.ndarray, n: int) -> tuple[np.ndarray, np.
 def counted(block: Block, n: int, keep: int, filters: np.ndarray | None) -> pa.RecordBatch | None:
     """(lang, phrase, count) of the block's n-grams that start before its last ``keep`` numbers."""
     x = np.concatenate([*block.parts, np.zeros(n, np.int32)])
+    block.parts = [x[: block.size]]
     starts = np.arange(block.size - keep)
     if n > 1:
         seeds = [seed(name) for name in block.names]
@@ -142,6 +143,7 @@ def counted(block: Block, n: int, keep: int, filters: np.ndarray | None) -> pa.R
         one, two = places(known, filters)
         bit = lambda at: (filters[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
         passed = (bit(one) & bit(two)).astype(bool)
+        del words, known, one, two
         starts = starts[passed[starts] & passed[starts + 1]]
     for j in range(n):
         starts = starts[x[starts + j] > 0]
@@ -173,8 +175,9 @@ def _partial(docs: DataFrame, n: int, filters: Broadcast | None, block_words: in
                 yield found.slice(at, _ROWS)
 
         for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), as_bytes(batch["text"])):
-                for words in tokens((text or b"").translate(_FOLD)):
+            # One text at a time: a batch may hold 64 MB of them.
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].cast(pa.binary())):
+                for words in tokens((text.as_py() or b"").translate(_FOLD)):
                     block.add(lang, words)
                     if n == 1:
                         totals[lang] = totals.get(lang, 0) + int((block.parts[-1] > 0).sum())
