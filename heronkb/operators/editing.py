@@ -90,20 +90,24 @@ def insert(sections: DataFrame, requests: DataFrame, at_end: bool = False) -> Da
     return renumbered(sections.unionByName(made.select(*sections.columns)))
 
 
-def delete(sections: DataFrame, section_ids: list[int]) -> DataFrame:
-    """Without those sections and all below them."""
+def delete(sections: DataFrame, section_ids: list[int], spare: int | None = None) -> DataFrame:
+    """Without those sections and all below them, but for a section to be spared and what is below that, which come up as roots."""
     doc = W.partitionBy("doc_id")
     up = F.map_from_entries(F.collect_list(F.when(F.col("parent_id").isNotNull(), F.struct("section_id", "parent_id"))).over(doc))
     gone = F.array(*[F.lit(i).cast("bigint") for i in section_ids])
-    step = lambda acc, _: F.struct(F.try_element_at(F.col("up"), acc["at"]).alias("at"), (acc["gone"] | F.coalesce(F.array_contains(gone, acc["at"]), F.lit(False))).alias("gone"))
+    above = lambda at: F.when(~at.eqNullSafe(F.lit(spare)), F.try_element_at(F.col("up"), at))
+    step = lambda acc, _: F.struct(above(acc["at"]).alias("at"), (acc["gone"] | F.coalesce(F.array_contains(gone, acc["at"]), F.lit(False))).alias("gone"))
     walk = F.aggregate(F.sequence(F.lit(0), F.lit(DEPTH)), F.struct(F.col("section_id").alias("at"), F.lit(False).alias("gone")), step)
-    return sections.withColumn("up", up).where(~walk["gone"]).select(*sections.columns)
+    parent = F.when((F.col("section_id") == F.lit(spare)) & F.col("parent_id").isin(section_ids), None).otherwise(F.col("parent_id"))
+    return sections.withColumn("up", up).where(~walk["gone"]).withColumn("parent_id", F.col("parent_id") if spare is None else parent).select(*sections.columns)
 
 
 def move(sections: DataFrame, section_id: int, new_parent: int | None, after: int | None = None) -> DataFrame:
     """Under another parent, behind a section if one is named."""
     if new_parent == section_id:
         raise ValueError("a section can't move under itself")
+    if new_parent is not None and delete(sections, [section_id]).where(F.col("section_id") == new_parent).isEmpty():
+        raise ValueError("a section can't move under one below itself, or one that isn't there")
     me = F.col("section_id") == section_id
     out = sections.withColumn("parent_id", F.when(me, F.lit(new_parent).cast("bigint")).otherwise(F.col("parent_id")))
     if after is None:
@@ -124,14 +128,17 @@ def split(sections: DataFrame, section_id: int, at: int, new_id: int) -> DataFra
 
 
 def merge(sections: DataFrame, section_ids: list[int]) -> DataFrame:
-    """Into the first of them by order, with a blank line between; the others go."""
-    if len(section_ids) < 2:
-        raise ValueError("at least two sections")
+    """Into the first of them by order, with a blank line between; the others go, and what is below them."""
     chosen = sections.where(F.col("section_id").isin(section_ids))
     ordered = F.array_sort(F.collect_list(F.struct("order_key", "section_id", "content")))
-    made = chosen.groupBy("doc_id").agg(ordered.alias("all")).select(F.element_at("all", 1)["section_id"].alias("section_id"), strip(F.array_join(F.transform("all", lambda x: x["content"]), "\n\n")).alias("new"))
-    rows = sections.join(made, "section_id", "left").where(~F.col("section_id").isin(section_ids) | F.col("new").isNotNull())
-    return rows.withColumns({"rev": F.when(F.col("new").isNotNull(), F.col("rev") + 1).otherwise(F.col("rev")), "content": F.coalesce("new", "content")}).select(*sections.columns)
+    made = chosen.groupBy("doc_id").agg(ordered.alias("all")).select(F.element_at("all", 1)["section_id"].alias("section_id"), F.size("all").alias("n"), strip(F.array_join(F.transform("all", lambda x: x["content"]), "\n\n")).alias("new"))
+    kept = made.collect()  # the request's own sections
+    if len(kept) != 1 or kept[0].n < 2:
+        raise ValueError("at least two sections of one document")
+    first, text = kept[0].section_id, kept[0].new
+    rows = delete(sections, [i for i in section_ids if i != first], spare=first)
+    me = F.col("section_id") == first
+    return renumbered(rows.withColumns({"rev": F.when(me, F.col("rev") + 1).otherwise(F.col("rev")), "content": F.when(me, F.lit(text)).otherwise(F.col("content"))}).select(*sections.columns))
 
 
 def diff(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, OVERRIDABLE, Settings
+from ..functions.text import let
 
 
 def with_hash(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -73,10 +74,10 @@ def next_queued(jobs: DataFrame) -> DataFrame:
 
 
 def merge_payload(old: Column, new: Column) -> Column:
-    """Shallow merge of JSON objects, the new keys winning."""
-    as_map = lambda x: F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(as_map(old), lambda k, v: ~F.map_contains_key(as_map(new), k))
-    return F.to_json(F.map_concat(kept, as_map(new)))
+    """Shallow merge of JSON objects, the new keys winning; values keep their JSON types. What is no object counts as empty."""
+    as_map = lambda x: F.coalesce(F.try_parse_json(x).try_cast("map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    merged = let(as_map(new), lambda n: F.map_concat(F.map_filter(as_map(old), lambda k, v: ~F.map_contains_key(n, k)), n))
+    return F.to_json(merged)
 
 
 def extract_confidence(jobs: DataFrame) -> DataFrame:

@@ -861,13 +861,25 @@ def jobs_claimed(spark, sf):
     return jobs.claim(views.jobs(spark, sf), F.lit(_NOW).cast("timestamp"), 10).select("job_id", "status", "attempts")
 
 
-@query(f"WITH {JOBS} SELECT job_id, CASE WHEN status = 'error' THEN 'queued' ELSE status END AS status, attempts + CASE WHEN status = 'error' THEN 1 ELSE 0 END AS attempts, CASE WHEN status = 'error' THEN '12' END AS pages_total, CASE WHEN event_id % 3 = 0 THEN v / 100 END AS confidence FROM jobs")
+@query(
+    f"WITH {JOBS} SELECT job_id, CASE WHEN status = 'error' THEN 'queued' ELSE status END AS status, attempts + CASE WHEN status = 'error' THEN 1 ELSE 0 END AS attempts, "
+    "CASE WHEN status = 'error' THEN 12 END AS pages_total, CASE WHEN status = 'error' THEN 'number' END AS pages_type, CASE WHEN status = 'error' THEN v + 0.5 END AS last_page_ms, "
+    "CASE WHEN event_id % 3 <> 0 THEN v END AS extract_ms, CASE WHEN event_id % 3 = 0 THEN v / 100 END AS confidence FROM jobs"
+)
 def jobs_updated(spark, sf):
-    """All jobs after the failed ones are queued again with a page count merged into their payload."""
+    """All jobs after the failed ones are queued again with a number and an object merged into their payload."""
     rows = views.jobs(spark, sf)
-    again = rows.where("status = 'error'").select("job_id", F.lit("queued").alias("status"), (F.col("attempts") + 1).alias("attempts"), F.lit('{"pages_total": "12"}').alias("payload"))
-    done = jobs.apply(rows, again, F.lit(_NOW).cast("timestamp"))
-    return done.select("job_id", "status", "attempts", F.get_json_object("payload", "$.pages_total").alias("pages_total"), F.get_json_object("payload", "$.extract_confidence").try_cast("double").alias("confidence"))
+    k = F.get_json_object("payload", "$.timings.extract").try_cast("double")
+    v = F.coalesce(k, F.get_json_object("payload", "$.extract_confidence").try_cast("double") * 100)
+    added = F.concat(F.lit('{"pages_total": 12, "last": {"page_ms": '), (F.round(v) + 0.5).cast("string"), F.lit(', "ok": true}}'))
+    again = rows.where("status = 'error'").select("job_id", F.lit("queued").alias("status"), (F.col("attempts") + 1).alias("attempts"), added.alias("payload"))
+    done = jobs.apply(rows, again, F.lit(_NOW).cast("timestamp")).withColumn("json", F.parse_json("payload"))
+    kind = F.schema_of_variant(F.try_variant_get("json", "$.pages_total", "variant"))
+    value = lambda path, as_: F.try_variant_get("json", path, as_)
+    return done.select(
+        "job_id", "status", "attempts", value("$.pages_total", "int").alias("pages_total"), F.when(kind == "BIGINT", "number").alias("pages_type"), value("$.last.page_ms", "double").alias("last_page_ms"),
+        value("$.timings.extract", "double").alias("extract_ms"), F.get_json_object("payload", "$.extract_confidence").try_cast("double").alias("confidence"),
+    )
 
 
 def _outbox(spark, sf):
