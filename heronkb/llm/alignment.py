@@ -42,7 +42,7 @@ from .packing import tokenizer_path
 from .recovery import checkpointed, shared_folder
 
 A_FILE, B_FILE, BROADCAST_PAIRS = "byte_bpe_50k.json", "piece_bpe_32k.model", 1_500_000
-_MEMORY, _CHARS, _TOGETHER, _PAIRS = 500_000, 16_000_000, 1 << 20, 1 << 20
+_MEMORY, _CHARS, _TOGETHER, _PAIRS = 320_000, 10_000_000, 1 << 19, 1 << 20
 _B_BITS = 15
 _SPACE = "▁"
 #: White space, then all up to a space or a line end that follows something else; U+180E is white space in old tables only.
@@ -279,7 +279,7 @@ def groups(docs: DataFrame, *, a: str | None = None, b: str | None = None, doc_i
 
         return lambda batch: {"doc_id": batch["doc_id"], "groups": [of(x) for x in batch["text"].to_pylist()]}
 
-    return map_rows(rows, f"doc_id {kind}, groups array<struct<end: bigint, a: array<int>, b: array<int>>>", start)
+    return map_rows(rows, f"doc_id {kind}, groups array<struct<end: bigint, a: array<int>, b: array<int>>>", start, "text", _TOGETHER)
 
 
 def linked(docs: DataFrame, *, a: str | None = None, b: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,13 +293,7 @@ def linked(docs: DataFrame, *, a: str | None = None, b: str | None = None, doc_i
 
         def each(batch: pa.RecordBatch) -> dict:
             nonlocal nth
-            texts, found, at = batch["text"].to_pylist(), [], 0
-            while at < len(texts):
-                some, size = [], 0
-                while at < len(texts) and size < _TOGETHER:
-                    some.append(texts[at])
-                    size, at = size + len(texts[at] or ""), at + 1
-                found += own.rows(some)
+            found = own.rows(batch["text"].to_pylist())
             out = dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"), zip(*(r[:5] for r in found))))
             codes, times = (np.concatenate([np.asarray(r[i], np.int64) for r in found]) for i in (5, 6))
             offsets = np.cumsum([0, *(len(r[5]) for r in found)])
@@ -310,7 +304,7 @@ def linked(docs: DataFrame, *, a: str | None = None, b: str | None = None, doc_i
 
         return each
 
-    return map_rows(rows, f"row bigint, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<struct<pair: int, times: bigint>>", start)
+    return map_rows(rows, f"row bigint, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<struct<pair: int, times: bigint>>", start, "text", _TOGETHER)
 
 
 def pair_counts(found: DataFrame) -> DataFrame:

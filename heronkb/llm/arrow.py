@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,16 +18,29 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, list[Any]]]]) -> DataFrame:
-    """``start`` runs once in each task and gives a function from a batch to the columns of ``schema``."""
+def slices(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose values in a string column have about ``size`` bytes, or one row with more."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, list[Any]]]], by: str | None = None, size: int = 1 << 20) -> DataFrame:
+    """``start`` runs once in each task and gives a function from a batch to the columns of ``schema``.
+
+    With ``by``, a string column, it gets batches of about ``size`` bytes of it.
+    """
     kind = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         for batch in batches:
-            if batch.num_rows:
-                columns = each(batch)
+            for part in slices(batch, by, size) if by else [batch] if batch.num_rows else []:
+                columns = each(part)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
