@@ -6,17 +6,21 @@ against plain models.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import language
 from ..functions import text as t
 from ..operators import editing, folders, graph, ingest, jobs, memory, retrieval, search_index, sections, upkeep, vector_index, verify
+from ..session import shared_folder
 from ..sources import files
 from ..sources.tables import table
-from ..streaming import observe
+from ..streaming import observe, stateful
 from . import views
 from .views import FOLDERS, JOBS, LOG, MD, QUERIES_SQL, SECTIONS, TURNS
 
@@ -597,7 +601,10 @@ def mem_observe(spark, sf):
     return memory.observe(views.memory_turns(spark, sf)).select("agent_id", "session_id", "content_hash", "mem_id", "content", "importance")
 
 
-@query(f"WITH {TURNS}, o AS (SELECT agent_id, session_id, arg_min(content, (t, mem_id)) AS content, min(t) AS t, arg_min(mem_id, (t, mem_id)) AS mem_id FROM turns WHERE content <> '' GROUP BY agent_id, session_id, sha256(content)) SELECT agent_id, session_id, 'Session ' || CAST(session_id AS VARCHAR) AS title, '## Session notes' || chr(10) || chr(10) || string_agg('- ' || content, chr(10) ORDER BY t, mem_id) || chr(10) AS content, count(*) AS consolidated FROM o GROUP BY agent_id, session_id")
+_CONSOLIDATED = f"WITH {TURNS}, o AS (SELECT agent_id, session_id, arg_min(content, (t, mem_id)) AS content, min(t) AS t, arg_min(mem_id, (t, mem_id)) AS mem_id FROM turns WHERE content <> '' GROUP BY agent_id, session_id, sha256(content)) SELECT agent_id, session_id, 'Session ' || CAST(session_id AS VARCHAR) AS title, '## Session notes' || chr(10) || chr(10) || string_agg('- ' || content, chr(10) ORDER BY t, mem_id) || chr(10) AS content, count(*) AS consolidated FROM o GROUP BY agent_id, session_id"
+
+
+@query(_CONSOLIDATED)
 def mem_consolidate(spark, sf):
     return memory.consolidate(memory.observe(views.memory_turns(spark, sf))).select("agent_id", "session_id", "title", "content", "consolidated")
 
@@ -962,3 +969,30 @@ def ingested(spark, sf):
 def stream_observe(spark, sf):
     turns = observe.read_stream(spark, f"{sf.rstrip('/')}/conversations.parquet", observe.TURNS)
     return observe.drain(observe.observations(turns), "observe").select("agent_id", "session_id", "content_hash", "content")
+
+
+def _streamed(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a stream, from files in the shared folder."""
+    folder = f"{shared_folder(rows.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+
+
+@query(_CONSOLIDATED)
+def stream_episodes(spark, sf):
+    """The episodes of mem_consolidate as a stream that closes sessions by itself; a later turn of another session moves its clock on."""
+    turns = views.memory_turns(spark, sf)
+    ticks = turns.agg(F.max("created_at").alias("last")).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("i"), "last")
+    ticks = ticks.select(F.lit(-1).cast("bigint").alias("mem_id"), F.lit("clock").alias("agent_id"), F.lit(-1).cast("bigint").alias("session_id"), F.lit("tick").alias("content"), (F.col("last") + F.make_dt_interval(F.col("i"))).alias("created_at"))
+    stream = _streamed(turns.unionByName(ticks), "turns")
+    found = observe.drain(stateful.episodes(stream), "episodes").where("agent_id <> 'clock'")
+    return found.select("agent_id", "session_id", "title", "content", "consolidated")
+
+
+@query()
+def stream_leases(spark, sf):
+    """Events as what workers tell a queue of jobs: what was granted, queued again, refused, done or given up."""
+    e = table(spark, sf, "events")
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in {"signup": "enqueue", "view": "ask", "click": "heartbeat", "purchase": "done", "error": "failed"}.items() for x in kv]), F.col("event_type"))
+    rows = e.select((F.col("user_id") % 8).cast("int").alias("queue"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(kind != "ask", F.col("user_id")).alias("job_id"), F.concat(F.lit("w"), (F.col("user_id") % 24 / 8).cast("int").cast("string")).alias("worker"))
+    return observe.drain(stateful.leases(_streamed(rows, "events"), settings=replace(DEFAULT, job_lease_seconds=86_400)), "leases")
