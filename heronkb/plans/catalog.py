@@ -378,6 +378,15 @@ def lexical_or(spark, sf):
     return _hydrated(retrieval.top(retrieval.lexical(docs(spark, sf), views.search_queries(spark), match_all=False), 10), spark, sf)
 
 
+_WORDS = lambda text: f"regexp_extract_all(lower({text}), '{t.WORD}')"
+#: BM25 of queries q(query_id, query) over corpus(doc_id, text), whatever these are.
+_SCORED = (
+    f"postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS('text')}) AS term FROM corpus) GROUP BY doc_id, term), lengths AS (SELECT doc_id, CAST(len({_WORDS('text')}) AS DOUBLE) AS dl FROM corpus), "
+    f"whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths), qt AS (SELECT DISTINCT query_id, unnest({_WORDS('query')}) AS term FROM q), nt AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY query_id), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term), "
+    "scored AS (SELECT query_id, doc_id, n_terms, count(*) AS found, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score "
+    "FROM postings JOIN qt USING (term) JOIN nt USING (query_id) JOIN df USING (term) JOIN lengths USING (doc_id), whole GROUP BY query_id, doc_id, n_terms)"
+)
+_RECALLED = _SCORED + ", ranked AS (SELECT query_id, doc_id AS mem_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored), recalled AS (SELECT query_id, mem_id, round(1.0 / (60 + rank), 9)::DOUBLE AS score, rank FROM ranked WHERE rank <= 8)"
 _RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored{}) SELECT query_id, doc_id, score, rank, lang, n_chars FROM r JOIN documents USING (doc_id) WHERE rank <= 10"
 
 
@@ -500,7 +509,13 @@ def _golden(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
-@query()
+@query(
+    r"WITH q AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split_regex(text, '\s+'), 1, 8), ' ') AS query FROM benchmark), corpus AS (SELECT doc_id, text FROM documents), "
+    + _SCORED
+    + ", r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE found = n_terms), "
+    "j AS (SELECT q.query_id, count(c.text) AS returned, count(*) FILTER (contains(lower(c.text), lower(q.query))) AS hits FROM q LEFT JOIN (SELECT * FROM r WHERE rank <= 10) AS r USING (query_id) LEFT JOIN corpus AS c ON c.doc_id = r.doc_id GROUP BY q.query_id) "
+    "SELECT query_id, hits, returned, least(1.0, hits)::DOUBLE AS recall, hits / greatest(1, returned) AS precision FROM j"
+)
 def eval_recall_precision(spark, sf):
     golden = _golden(spark, sf)
     hits = retrieval.top(retrieval.lexical(docs(spark, sf), golden), 10)
@@ -509,13 +524,13 @@ def eval_recall_precision(spark, sf):
 
 
 @query(
-    r"WITH g AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split_regex(text, '\s+'), 1, 8), ' ') AS query FROM benchmark), hits AS (SELECT query_id, 'on ' || query AS title FROM g WHERE query_id % 3 > 0 UNION ALL SELECT a.query_id, b.query FROM g a JOIN g b ON b.query_id IN (a.query_id + 1, a.query_id - 2)), "
+    r"WITH g AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split_regex(text, '\s+'), 1, 8), ' ') AS query FROM benchmark), hits AS (SELECT query_id, 'on ' || query AS title FROM g WHERE length(query) > 45 UNION ALL SELECT a.query_id, b.query FROM g a JOIN g b ON b.query_id IN (a.query_id + 1, a.query_id - 2)), "
     "j AS (SELECT g.query_id, count(title) AS returned, count(*) FILTER (contains(lower(title), lower(g.query))) AS hits FROM g LEFT JOIN hits USING (query_id) GROUP BY g.query_id) SELECT count(*) AS queries, round_even(avg(least(1.0, hits)), 3)::DOUBLE AS recall_at_k, round_even(avg(hits / greatest(1, returned)), 3)::DOUBLE AS precision_at_k FROM j"
 )
 def evaluation_means(spark, sf):
-    """Means over all golden queries, of which a third lacks its own title and most have titles of others."""
+    """Means over all golden queries, of which the short ones lack their own title and most have titles of others."""
     golden = _golden(spark, sf)
-    own = golden.where("query_id % 3 > 0").select("query_id", F.concat(F.lit("on "), F.col("query")).alias("title"))
+    own = golden.where("length(query) > 45").select("query_id", F.concat(F.lit("on "), F.col("query")).alias("title"))
     others = golden.select(F.explode(F.array(F.col("query_id") - 1, F.col("query_id") + 2)).alias("query_id"), F.col("query").alias("title"))
     hits = own.unionByName(others.join(golden.select("query_id"), "query_id", "left_semi"))
     return retrieval.evaluation_mean(retrieval.evaluate(hits, golden.select("query_id", F.col("query").alias("relevant"))))
@@ -658,16 +673,19 @@ def mem_digest(spark, sf):
     return memory.digest(memory.observe(views.memory_turns(spark, sf)).withColumn("title", F.lit("")))
 
 
-@query()
+@query(f"WITH {TURNS}, {QUERIES_SQL}, corpus AS (SELECT arg_min(mem_id, (t, mem_id)) AS doc_id, arg_min(content, (t, mem_id)) AS text FROM turns WHERE content <> '' GROUP BY agent_id, session_id, sha256(content)), {_RECALLED} SELECT query_id, mem_id, score, rank FROM recalled")
 def mem_recall(spark, sf):
     log = memory.observe(views.memory_turns(spark, sf)).withColumns({"scope": F.lit("shared"), "mkey": F.lit(""), "title": F.lit("")})
     return memory.recall(log, views.search_queries(spark), "user")
 
 
-@query()
+@query(
+    f"WITH {LOG}, q AS (SELECT 1::BIGINT AS query_id, 'purchase view' AS query), corpus AS (SELECT mem_id AS doc_id, content AS text FROM kept WHERE superseded_by IS NULL AND (scope = 'shared' OR agent_id = '3')), {_RECALLED} "
+    f"SELECT mem_id, least(importance + 0.1, 10.0)::DOUBLE AS importance, epoch_us(TIMESTAMP '{_AS_OF}') AS last_accessed_us FROM log JOIN (SELECT DISTINCT mem_id FROM recalled) USING (mem_id)"
+)
 def mem_reinforced(spark, sf):
     log = views.memory_log(spark, sf)
-    return memory.reinforced(memory.recall(log, spark.createDataFrame([(1, "purchase view")], "query_id bigint, query string"), "3"), log, F.lit(_AS_OF).cast("timestamp"))
+    return memory.reinforced(memory.recall(log, spark.createDataFrame([(1, "purchase view")], "query_id bigint, query string"), "3"), log, F.lit(_AS_OF).cast("timestamp")).select("mem_id", "importance", F.unix_micros("last_accessed_at").alias("last_accessed_us"))
 
 
 # Folders and the atlas.
