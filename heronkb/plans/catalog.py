@@ -878,6 +878,74 @@ def documents_deleted(spark, sf):
     return left["documents"].agg(F.count("*").alias("n")).select(F.lit("documents").alias("name"), "n").unionByName(left["sections"].agg(F.count("*").alias("n")).select(F.lit("sections").alias("name"), "n"))
 
 
+# Edits of sections, over the sections of all documents; those of single sections meet the document that has most.
+
+_STATE = SECTIONS + ", state AS (SELECT doc_id, doc_id * 1000000 + order_index AS section_id, doc_id * 1000000 + parent_order_index AS parent_id, order_index, level, heading, content FROM sections), longest AS (SELECT doc_id, max(order_index) AS last FROM state GROUP BY doc_id ORDER BY count(*) DESC, doc_id LIMIT 1)"
+
+
+def _edited(state: DataFrame) -> DataFrame:
+    return state.select("section_id", "parent_id", F.col("order_key").cast("bigint").alias("order_index"), "rev", "manually_edited", F.length("content").cast("bigint").alias("chars"))
+
+
+def _longest(state: DataFrame) -> tuple[int, int]:
+    """The document with most sections, and its last section."""
+    r = state.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("section_id").alias("last")).orderBy(F.desc("n"), "doc_id").first()
+    return r.doc_id, r.last
+
+
+@query(f"WITH {_STATE} SELECT section_id, parent_id, order_index, CASE WHEN level = 1 THEN 2 ELSE 1 END AS rev, level = 1 AS manually_edited, length(CASE WHEN level = 1 THEN 'Rewritten: ' || heading ELSE content END) AS chars FROM state")
+def sections_updated(spark, sf):
+    """Every section of the first level gets a new text, against its present revision."""
+    state = _state(spark, sf)
+    return _edited(editing.update(state, state.where("level = 1").select("section_id", F.concat(F.lit("Rewritten: "), "heading").alias("content"), "rev")))
+
+
+@query(
+    f"WITH RECURSIVE {_STATE}, gone AS (SELECT section_id FROM state, longest WHERE state.doc_id = longest.doc_id AND order_index = 0 UNION SELECT s.section_id FROM state s JOIN gone g ON s.parent_id = g.section_id) "
+    "SELECT section_id, parent_id, order_index, 1 AS rev, false AS manually_edited, length(content) AS chars FROM state WHERE section_id NOT IN (FROM gone)"
+)
+def sections_deleted(spark, sf):
+    """Without the first section of the longest document and all below it."""
+    state = _state(spark, sf)
+    return _edited(editing.delete(state, [_longest(state)[0] * 1_000_000]))
+
+
+@query(
+    f"WITH RECURSIVE {_STATE}, merged AS (SELECT state.*, row_number() OVER (ORDER BY order_index) AS nth FROM state, longest WHERE state.doc_id = longest.doc_id AND level = 1), gone AS (SELECT section_id FROM merged WHERE nth > 1 UNION SELECT s.section_id FROM state s JOIN gone g ON s.parent_id = g.section_id), "
+    "whole AS (SELECT min(section_id) AS section_id, trim(string_agg(content, chr(10) || chr(10) ORDER BY order_index), ' ' || chr(9) || chr(10)) AS text FROM merged) "
+    "SELECT s.section_id, parent_id, row_number() OVER (PARTITION BY doc_id ORDER BY order_index) - 1 AS order_index, CASE WHEN text IS NOT NULL THEN 2 ELSE 1 END AS rev, false AS manually_edited, length(coalesce(text, content)) AS chars FROM state s LEFT JOIN whole USING (section_id) WHERE s.section_id NOT IN (FROM gone)"
+)
+def sections_merged(spark, sf):
+    """All first-level sections of the longest document in one; what is below the later ones goes with them."""
+    state = _state(spark, sf)
+    doc = _longest(state)[0]
+    return _edited(editing.merge(state, [r.section_id for r in state.where((F.col("doc_id") == doc) & (F.col("level") == 1)).select("section_id").collect()]))
+
+
+@query(
+    f"WITH {_STATE}, halved AS (SELECT s.doc_id, s.section_id, s.parent_id, s.order_index, s.content, greatest(1, least(10, length(s.content) - 1)) AS place FROM state s JOIN longest ON s.doc_id = longest.doc_id AND s.order_index = last) "
+    "SELECT section_id, parent_id, order_index, CASE WHEN section_id IN (SELECT section_id FROM halved) THEN 2 ELSE 1 END AS rev, false AS manually_edited, CASE WHEN section_id IN (SELECT section_id FROM halved) THEN (SELECT length(regexp_replace(left(content, place), '\\s+$', '')) FROM halved) ELSE length(content) END AS chars FROM state "
+    "UNION ALL SELECT section_id + 500000, parent_id, order_index + 1, 1, false, length(regexp_replace(substr(content, place + 1), '^\\s+', '')) FROM halved"
+)
+def sections_split(spark, sf):
+    """The last section of the longest document in two, at its tenth character."""
+    state = _state(spark, sf)
+    last = _longest(state)[1]
+    return _edited(editing.split(state, last, 10, last + 500_000))
+
+
+@query(
+    f"WITH {_STATE}, root AS (SELECT min(order_index) AS next FROM state JOIN longest USING (doc_id) WHERE level = 1 AND order_index > 0), "
+    "placed AS (SELECT s.*, l.doc_id IS NOT NULL AS moved, CASE WHEN l.doc_id IS NOT NULL THEN next - 0.5 ELSE order_index END AS place FROM state s CROSS JOIN root LEFT JOIN longest l ON s.doc_id = l.doc_id AND s.order_index = l.last) "
+    "SELECT section_id, CASE WHEN moved THEN doc_id * 1000000 ELSE parent_id END AS parent_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS order_index, 1 AS rev, false AS manually_edited, length(content) AS chars FROM placed"
+)
+def sections_moved(spark, sf):
+    """The last section of the longest document under its first."""
+    state = _state(spark, sf)
+    doc, last = _longest(state)
+    return _edited(editing.move(state, last, doc * 1_000_000))
+
+
 # Queue, outbox, originals and atlas.
 
 
