@@ -13,7 +13,8 @@ class Hooks:
     ``extract(content, path) -> list of page texts``; ``rewrite(texts) -> texts`` is the language model
     that structures pages, ``escalate`` a stronger one for pages where it fails; ``embed(texts) -> vectors``;
     ``rerank(query, texts) -> scores``. A call to a language model is made ``attempts`` times at most, with twice the
-    wait each time, and given up after ``timeout_s``.
+    wait each time, and given up after ``timeout_s``; it has ``texts_per_call`` texts at most. ``calls_per_second`` is one budget for all tasks, of
+    which ``callers`` call at a time.
     """
 
     extract: Callable[[bytes, str], list[str]] | None = None
@@ -22,6 +23,9 @@ class Hooks:
     rerank: Callable[[str, Sequence[str]], list[float]] | None = None
     escalate: Callable[[Sequence[str]], list[str]] | None = None
     least_interval_s: float = 0.0
+    calls_per_second: float | None = None
+    callers: int = 4
+    texts_per_call: int = 256
     attempts: int = 1
     retry_wait_s: float = 1.0
     timeout_s: float | None = None

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,43 +14,78 @@ from pyspark.sql import types as T
 
 from ..config import Hooks
 
+LOG = logging.getLogger(__name__)
 
-def asked(model: Callable[[Sequence[str]], list[str]], texts: list[str], attempts: int, wait_s: float, timeout_s: float | None) -> list[str | None]:
-    """The model's answers, or nulls once every attempt has failed, taken too long, or answered for another number of texts."""
+def _called(model: Callable[[Sequence[str]], list[str]], texts: list[str], timeout_s: float | None) -> list[str]:
+    """One call, given up after a time; its thread doesn't hold up the worker's exit."""
+    done: list = []
+
+    def work() -> None:
+        try:
+            done.append((list(model(texts)), None))
+        except Exception as e:  # noqa: BLE001  told to the caller
+            done.append((None, e))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(timeout_s)
+    if not done:
+        raise TimeoutError(f"no answer after {timeout_s} s")
+    if done[0][1] is not None:
+        raise done[0][1]
+    if len(done[0][0]) != len(texts):
+        raise ValueError(f"{len(done[0][0])} answers for {len(texts)} texts")
+    return done[0][0]
+
+
+def asked(model: Callable[[Sequence[str]], list[str]], texts: list[str], attempts: int, wait_s: float, timeout_s: float | None, before: Callable[[], None] = lambda: None) -> list[str | None]:
+    """The model's answers, or nulls once every attempt has failed, taken too long, or answered for another number of texts.
+
+    Failures are logged; ``before`` is called ahead of each attempt.
+    """
     for n in range(max(attempts, 1)):
         if n:
             time.sleep(wait_s * 2 ** (n - 1))
-        worker = ThreadPoolExecutor(1)
+        before()
         try:
-            answers = list(worker.submit(model, texts).result(timeout_s))
-            if len(answers) == len(texts):
-                return answers
-        except Exception:  # noqa: BLE001, S110  any failure of the model leaves the text as it was
-            pass
-        finally:
-            worker.shutdown(wait=False)
+            return _called(model, texts, timeout_s)
+        except Exception as e:  # noqa: BLE001  any failure of the model leaves the text as it was
+            LOG.warning("model call failed, attempt %d of %d: %s", n + 1, attempts, e)
     return [None] * len(texts)
 
 
+class Pace:
+    """Least time between the calls of a task."""
+
+    def __init__(self, pause_s: float) -> None:
+        self.pause_s, self.last = pause_s, -pause_s
+
+    def __call__(self) -> None:
+        time.sleep(max(0.0, self.last + self.pause_s - time.monotonic()))
+        self.last = time.monotonic()
+
+
 def rewritten(rows: DataFrame, source: str, target: str, hooks: Hooks, model: Callable[[Sequence[str]], list[str]] | None = None, only: str | None = None) -> DataFrame:
     """Adds the answer of a language model (``hooks.rewrite`` by default) to a text column; null where it fails, so
     that callers keep the source. With ``only``, rows where that column isn't true are not sent.
 
-    ``least_interval_s`` is the least time between two calls of one task.
+    ``least_interval_s`` is the least time between two calls of one task. With ``calls_per_second``, rows are dealt to ``callers`` tasks, each
+    of which may use its share: all together, retries too, stay under the limit, on any number of executors.
     """
-    model, pause = model or hooks.rewrite, hooks.least_interval_s
+    model, pause, size = model or hooks.rewrite, hooks.least_interval_s, max(1, hooks.texts_per_call)
+    if hooks.calls_per_second:
+        rows, pause = rows.repartition(hooks.callers), max(pause, hooks.callers / hooks.calls_per_second)
     bounds = hooks.attempts, hooks.retry_wait_s, hooks.timeout_s
     shape = T.StructType([*rows.schema.fields, T.StructField(target, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = 0.0
+        pace = Pace(pause)
         for batch in batches:
             sent = batch[only].fillna(False).astype(bool) if only else pd.Series(True, batch.index)
             answers = pd.Series([None] * len(batch), batch.index, dtype=object)
-            if sent.any():
-                time.sleep(max(0.0, last + pause - time.monotonic()))
-                last = time.monotonic()
-                answers[sent] = asked(model, batch[source][sent].fillna("").tolist(), *bounds)
+            texts = batch[source][sent].fillna("").tolist()
+            if texts:
+                answers[sent] = [x for at in range(0, len(texts), size) for x in asked(model, texts[at : at + size], *bounds, before=pace)]
             yield batch.assign(**{target: answers})
 
     return rows.mapInPandas(run, shape)
