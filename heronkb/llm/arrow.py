@@ -46,13 +46,13 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, kind)
 
 
-def pass_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:
+def pass_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], by: str | None = None, size: int = 1 << 20) -> DataFrame:
     """As ``map_rows``, for stages that keep the schema: they drop rows or replace columns of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+            for part in slices(batch, by, size) if by else [batch] if batch.num_rows else []:
+                yield each(part)
 
     return df.mapInArrow(run, df.schema)

@@ -148,7 +148,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
         return each
 
     shape = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return map_rows(picked, shape + ", ids array<bigint>" * with_ids, start)
+    return map_rows(picked, shape + ", ids array<bigint>" * with_ids, start, "text", 1 << 22)
 
 
 class Plan:

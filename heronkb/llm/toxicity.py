@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         features = Features(bits)
         return lambda batch: {"place": batch["place"], "label": batch["label"], "found": [features.distinct(x) for x in as_bytes(batch["text"])]}
 
-    found = map_rows(texts, "place bigint, label int, found array<int>", hashed)
+    found = map_rows(texts, "place bigint, label int, found array<int>", hashed, "text", 1 << 21)
     first = found.repartition(1).sortWithinPartitions("place", "label", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def score(docs: DataFrame, fitted: Model, *, doc_id: str = "doc_id", text: str =
         one = shared.value.scorer()
         return lambda batch: {"doc_id": batch["doc_id"], "score": [one(x) for x in as_bytes(batch["text"])]}
 
-    return map_rows(picked, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double", start)
+    return map_rows(picked, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, score double", start, "text", 1 << 22)
 
 
 def drop_toxic(docs: DataFrame, fitted: Model, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -178,7 +178,7 @@ def drop_toxic(docs: DataFrame, fitted: Model, *, text: str = "text", threshold:
         one = shared.value.scorer()
         return lambda batch: batch.filter(pa.array([one(x) < threshold for x in as_bytes(batch[text])], pa.bool_()))
 
-    return pass_rows(docs, start)
+    return pass_rows(docs, start, text, 1 << 22)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
