@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Hooks
 from ..functions.text import let, tokens
+from . import products
 
 K1, B = 1.2, 0.75
 #: Query vectors that are sent to every task at once; more are taken in blocks.
@@ -143,15 +144,30 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """query_id, key, score, rank: exact cosine, each vector against a block of stated queries (query_id, q)."""
+    """query_id, key, score, rank: exact cosine, each vector against a block of stated queries (query_id, q).
+
+    Each task keeps its ``k`` best a query (see ``products.best``), so what is ranked in the end is small.
+    """
+    kind, asked = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    rows = vectors.select(F.col(key).alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
     arms = []
-    for block in blocks_of(queries.select("query_id", "q")):
-        pairs = vectors.select(key, "embedding").crossJoin(F.broadcast(block))  # a block of bounded size
-        scored = pairs.select("query_id", key, F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-        arms.append(top(scored.where("score is not null"), k, key))
+    for block in blocks_of(queries.select("query_id", F.col("q").cast("array<double>").alias("q"))):
+        table = block.toArrow()  # a block of bounded size
+        shared = queries.sparkSession.sparkContext.broadcast(products.sides(table["q"].combine_chunks()))
+        ids = queries.sparkSession.sparkContext.broadcast(table["query_id"].combine_chunks())
+        few = table.num_rows <= FEW_TERMS  # their products cost less than a shuffle of the vectors
+        # The lambda binds this block's broadcasts.
+        found = (rows if few else _dealt(rows)).mapInArrow(lambda batches, shared=shared, ids=ids: products.best(batches, shared.value, ids.value, k), f"query_id {asked}, key {kind}, score double")
+        arms.append(top(found.withColumnRenamed("key", key), k, key))
     return reduce(DataFrame.unionByName, arms)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """At least as many partitions as Spark runs at once: vectors often lie in few files, and products are the cost."""
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= least else rows.repartition(2 * least)
+
+
 def best_sections(chunk_hits: DataFrame, key: str = "order_index") -> DataFrame:
     """Sections of the best chunks: chunks were limited before, so there may be fewer sections than chunks."""
     best = chunk_hits.groupBy("query_id", "doc_id", key).agg(F.min("rank").alias("first"), F.max("score").alias("score"))
