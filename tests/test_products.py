@@ -67,3 +67,11 @@ def test_halves_are_rounded_as_spark_does(spark):
     values = [0.1234565, -0.1234565, 0.0000005, -0.0000005, 2.5e-7, 0.9999995, 1.0, -1.0, 0.3000004999999, 0.1234575]
     want = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
     assert products.scores_of(products.micros(np.array(values))).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["cosine_topk", "ann_dedup"])
+def test_queries_over_vectors_make_no_row_for_each_pair(spark, small, name):
+    from heronkb.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "MapInArrow" in plan
