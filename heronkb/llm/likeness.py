@@ -4,8 +4,9 @@ Words and shingles are those of ``simhash`` (A-Z lower-cased, split at ASCII whi
 each. Two documents are linked if their sets of shingles have a Jaccard likeness of ``LEAST`` or more,
 and a class is what links reach. Sets are compared as 64-bit hashes; equal sets are one node.
 
-First ``simhash.links``, the trie self-join, gives a forest of nodes whose fingerprints differ in few
-bits; its edges are checked exactly and make the first classes. At 0.8 two fingerprints differ in about
+First ``simhash.links``, the trie self-join over the fingerprints of all nodes, gives a forest of nodes
+whose fingerprints differ in few bits, whether or not any band brings them together; its edges are
+checked exactly and make the first classes. At 0.8 two fingerprints differ in about
 10 of 64 bits, give or take 3, where a trie prunes nothing and all pairs would be compared; so the other
 candidates are nodes that agree in a band of MinHash values: a pair at 0.8 is missed with a chance of
 (1 - 0.8 ** ROWS) ** BANDS, 1.5 in 100,000. Of these, pairs in one class already are settled. First the
@@ -149,14 +150,16 @@ def links(docs: DataFrame, prints: DataFrame, *, doc_id: str = "doc_id", text: s
     """node, component for every node that is alike another. ``prints``: the checkpointed sketches."""
     names = [f"s{i}" for i in range(LONGS)]
     nodes = prints.groupBy("node").agg(F.min(F.struct("row_key", "n", "fp", "bands", "sketch")).alias("one")).select("node", "one.*")
-    keyed = nodes.select("node", "row_key", "n", "fp", F.posexplode("bands").alias("band", "bucket"))
+    keyed = nodes.select("node", "row_key", "n", F.posexplode("bands").alias("band", "bucket"))
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     # A place on [0, 1) in each bucket: the members below first / many are those that all others meet.
     place = (F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("place")
-    seats = checkpointed(keyed.join(crowded, "bucket").select("band", "bucket", "many", "node", "row_key", "n", "fp", place))
-    known = seats.select("node", "row_key", "fp").distinct()
-    sets = checkpointed(_sets(docs, known.select("node", "row_key"), doc_id, text, size))
-    marked = checkpointed(nodes.join(known.select("node"), "node", "left_semi").select("node", *[F.col("sketch")[i].alias(x) for i, x in enumerate(names)]))
+    seats = checkpointed(keyed.join(crowded, "bucket").select("band", "bucket", "many", "node", "row_key", "n", place))
+    trie = checkpointed(_trie_pairs(nodes.where("n > 0").select("node", "fp")))  # the one node without shingles has no partner
+    met = trie.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row_key"), "node")
+    known = seats.select("node", "row_key").unionByName(met.select("node", "row_key")).distinct()
+    sets = checkpointed(_sets(docs, known, doc_id, text, size))
+    marked = checkpointed(nodes.join(seats.select("node"), "node", "left_semi").select("node", *[F.col("sketch")[i].alias(x) for i, x in enumerate(names)]))
     seen = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
 
     def live(bands: int) -> DataFrame:
@@ -181,7 +184,7 @@ def links(docs: DataFrame, prints: DataFrame, *, doc_id: str = "doc_id", text: s
         other, near = meeting(rows, first, LIKELY_OFF)
         pairs = rows.join(other.where("o_pivot"), "bucket").where(near).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
         if k == 0:
-            pairs = pairs.unionByName(_trie_pairs(known.select("node", "fp")))
+            pairs = pairs.unionByName(trie)
         seen = link(alike(pairs.distinct(), sets, least))
         release(docs.sparkSession)
     rows = live(BANDS)

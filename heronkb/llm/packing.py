@@ -23,7 +23,6 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import kept, map_rows
 from .recovery import checkpointed
 
 CAPACITY, END_ID, SALT = 4096, 1, 64
@@ -115,10 +114,9 @@ class WordTokens:
             yield from (self._encode(x) if xs is None else b"".join(map(get, xs)) for x, xs in zip(part, cut))
 
 
-@lru_cache(maxsize=1)
 def word_tokens(path: str) -> WordTokens:
-    """One memory for each Python worker, which outlives its tasks."""
-    return WordTokens(path)
+    """One memory for each Python worker, which outlives its tasks until one of another stage runs there."""
+    return kept(f"words {path}", lambda: WordTokens(path))
 
 
 def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -148,7 +146,7 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAP
         return each
 
     shape = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return map_rows(picked, shape + ", ids array<bigint>" * with_ids, start, "text", 1 << 22)
+    return map_rows(picked, shape + ", ids array<bigint>" * with_ids, start, "text", 1 << 22, keeps=f"words {path}")
 
 
 class Plan:

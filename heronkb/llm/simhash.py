@@ -37,7 +37,7 @@ SHINGLE, ERRORS, EXACT, SEED = 4, 4, 2, 42
 #: Fingerprints that one bucket may hold.
 MOST = 1 << 17
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-_PAIRS, _ROWS = 1 << 20, 1 << 18
+_PAIRS, _ROWS = 1 << 17, 1 << 18
 
 
 def shingle_hashes(text: bytes | None, size: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:

@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from heronkb.llm import likeness
 
@@ -86,3 +88,15 @@ def test_crowded_buckets_are_dealt_anew_without_loss(spark):
     for x in fps:
         want.setdefault(root(x), set()).add(x)
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_the_trie_finds_near_copies_that_no_band_brings_together(spark):
+    from heronkb.llm.recovery import checkpointed
+
+    words = [f"w{i}" for i in range(3000)]
+    near = [*words[:1500], "other", *words[1501:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(f"x{i}" for i in range(900))), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], DOCS)
+    prints = likeness.sketches(docs).withColumn("bands", F.array(F.xxhash64("node")))  # a bucket of its own for each
+    found = likeness.links(docs, checkpointed(prints), size=5).collect()
+    assert len(found) == 2 and len({r.component for r in found}) == 1
