@@ -8,6 +8,7 @@ Languages without rules, and null, are ``simple``: the words as they are.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,9 +76,38 @@ def terms(text: Column, config: Column) -> Column:
     return out
 
 
+@dataclass(frozen=True)
+class ByWord:
+    """An analysis in two steps: the words of a text that count, and the one term that each of them has, whatever stands beside it."""
+
+    lang: str = "lang"
+
+    def __call__(self, text: Column) -> Column:
+        return terms(text, self.config())
+
+    def config(self) -> Column:
+        return fts_config(F.col(self.lang))
+
+    def words(self, text: Column, config: Column) -> Column:
+        """The words of a text without its stop words: as many as it has terms."""
+        found = tokens(F.coalesce(text, F.lit("")))
+        out = found
+        for name in ENDINGS:
+            stop = STOP[name].split()
+            out = F.when(config == name, F.filter(found, lambda x: ~x.isin(stop))).otherwise(out)
+        return out
+
+    def term(self, word: Column, config: Column) -> Column:
+        """The term of such a word."""
+        out = word
+        for name in ENDINGS:
+            out = F.when(config == name, F.concat(F.lit(f"{name}:"), F.get(stems(F.array(word), name), 0))).otherwise(out)
+        return out
+
+
 def analyser(lang: str = "lang") -> Callable[[Column], Column]:
     """For ``retrieval``: analyses each row by the language code in a column."""
-    return lambda text: terms(text, fts_config(F.col(lang)))
+    return ByWord(lang)
 
 
 def sql(words: str, config: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Hooks
+from ..functions.language import ByWord
 from ..functions.text import let, tokens
 from . import products
 
@@ -80,6 +81,30 @@ def _matches(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, analyse:
     return rows.select("doc_id", "dl", F.explode("toks").alias("term")).join(wanted, "term").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def _matches_by_word(docs: DataFrame, terms: DataFrame, doc_id: str, text: str, analyse: ByWord) -> tuple[DataFrame, DataFrame]:
+    """``_matches`` where a term hangs on its word alone, and term, df, n_docs, sum_dl: figures of the documents that count under each term.
+
+    Each distinct word of the corpus is analysed once; texts are only searched for the words whose term is asked for.
+    Every document counts in n_docs and sum_dl of one row, that of its first term, or of none.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), analyse.config().alias("config"))
+    rows = rows.select("doc_id", "config", analyse.words(F.col("text"), F.col("config")).alias("words"))
+    met = rows.select("config", F.explode(F.array_distinct("words")).alias("word")).distinct()
+    met = met.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)  # words are few bytes and much work, so Spark would join their partitions
+    asked = met.select("config", "word", analyse.term(F.col("word"), F.col("config")).alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    # One row for each language, with the forms of FEW_TERMS terms at most.
+    forms = F.broadcast(asked.groupBy("config").agg(F.map_from_entries(F.collect_list(F.struct("word", "term"))).alias("forms")))
+    term = lambda x: F.try_element_at("forms", x)
+    dl, held = F.size("words").cast("bigint").alias("dl"), F.array_intersect("words", F.map_keys("forms"))
+    marked = rows.join(forms, "config", "left").select(dl, F.posexplode_outer(F.array_distinct(F.transform(held, term))).alias("at", "term"))
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    figures = marked.groupBy("term").agg(F.count("*").alias("df"), F.count_if(first).alias("n_docs"), F.sum(F.when(first, F.col("dl"))).alias("sum_dl"))
+    some = rows.join(forms, "config").select("doc_id", dl, "words", "forms", held.alias("held")).where(F.size("held") > 0)
+    runs = _runs(F.array_sort(F.transform(F.filter("words", lambda x: F.array_contains("held", x)), term)))
+    hits = some.select("doc_id", "dl", F.explode(runs).alias("p")).select("doc_id", "p.term", "dl", F.col("p.tf").cast("bigint").alias("tf"))
+    return hits, figures
+
+
 def lexical(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, scorer: str = "bm25", stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", analyse: Analyse = tokens) -> DataFrame:
     """query_id, doc_id, score for each match: all terms of a query, or any.
 
@@ -96,8 +121,13 @@ def lexical(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, scor
 def scores(docs: DataFrame, queries: DataFrame, *, match_all: bool = True, stats: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", analyse: Analyse = tokens) -> DataFrame:
     """query_id, doc_id, bm25, tf: both scores of each match from one pass over the postings."""
     terms = query_terms(queries, analyse)
-    hits, whole = _matches(docs, terms, doc_id, text, analyse), corpus_stats(docs, text, analyse) if stats is None else stats
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    if isinstance(analyse, ByWord) and len(terms.select("term").distinct().limit(FEW_TERMS + 1).collect()) <= FEW_TERMS:
+        hits, figures = _matches_by_word(docs, terms, doc_id, text, analyse)
+        whole = figures.agg(F.sum("n_docs").alias("n_docs"), (F.sum("sum_dl") / F.sum("n_docs")).alias("avgdl")) if stats is None else stats
+        df = figures.where("term is not null").select("term", "df")
+    else:
+        hits, whole = _matches(docs, terms, doc_id, text, analyse), corpus_stats(docs, text, analyse) if stats is None else stats
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
     joined = hits.join(terms, "term").join(df, "term").crossJoin(F.broadcast(whole))  # one row
     idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

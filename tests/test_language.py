@@ -58,3 +58,13 @@ def test_many_query_terms_are_joined_instead(spark, monkeypatch, small):
     few = rows()
     monkeypatch.setattr(retrieval, "FEW_TERMS", 1)
     assert few and rows() == few
+
+
+def test_the_corpus_is_analysed_by_its_distinct_words(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    queries = spark.createDataFrame([(1, "the ingly hested", "en"), (2, "der ungen cht", "de"), (3, "the of", "en")], "query_id bigint, query string, lang string")
+    analyse = language.analyser()
+    terms = retrieval.query_terms(queries, analyse)
+    whole = lambda a: {tuple(r) for r in retrieval.scores(docs, queries, match_all=False, analyse=a).collect()}
+    assert retrieval._matches_by_word(docs, terms, "doc_id", "text", analyse)[1].agg(F.sum("n_docs")).first()[0] == docs.count()
+    assert whole(analyse) == whole(lambda text: analyse(text))  # the second analyses whole texts
