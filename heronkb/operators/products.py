@@ -20,6 +20,10 @@ import pyarrow.compute as pc
 
 #: Vectors and queries whose products are held at once: 4 MB in single precision.
 ROWS, QUERIES = 1024, 1024
+#: Elements of pairs that are multiplied at once: 2 MB of doubles.
+ELEMENTS = 1 << 18
+#: Parts of candidates that wait at most, however small they are.
+PARTS = 256
 #: What is no number of millionths: not-a-number, infinities.
 _NAN, _MOST = np.iinfo(np.int64).max, 1 << 62
 _MICRO = 1_000_000
@@ -92,9 +96,11 @@ def scores_of(millionths: np.ndarray) -> np.ndarray:
 def exact(a: Side, i: np.ndarray, b: Side, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cosines of the pairs, and which of them exist."""
     with np.errstate(all="ignore"):
-        dot = np.zeros(len(i))
-        for x, y in zip(a.values.T, b.values.T):
-            dot += x[i] * y[j]
+        dot = np.empty(len(i))
+        n = max(1, ELEMENTS // a.values.shape[1])
+        for at in range(0, len(i), n):
+            part = slice(at, at + n)
+            dot[part] = np.add.accumulate(a.values[i[part]] * b.values[j[part]], axis=1)[:, -1]  # a sum would pair elements up
         size = a.norm[i] * b.norm[j]
         return dot / size, size != 0
 
@@ -110,12 +116,14 @@ def first_of(table: pa.Table, k: int) -> pa.Table:
 
 
 class Best:
-    """The k best of one block of queries so far."""
+    """The k best of one block of queries so far; what may be among them waits until it is as much as they are, and is ranked then."""
 
     def __init__(self, queries: Side, k: int, key: pa.DataType) -> None:
         self.queries, self.k = queries, k
         self.table = pa.table({"q": pa.array([], pa.int32()), "micros": pa.array([], pa.int64()), "key": pa.array([], key)})
         self.least = np.full(len(queries.at), -np.inf)
+        self.waiting: list[pa.Table] = []
+        self.n_waiting = 0
         self.error = (queries.values.shape[1] + 8) * 1.2e-7
 
     def see(self, rows: Side, keys: pa.Array) -> None:
@@ -131,13 +139,22 @@ class Best:
         can[self.queries.odd] = False
         can[:, rows.odd & (rows.norm != 0)] = True  # vectors of zeros have no cosine, unless the other's length is no number
         can[self.queries.odd & (self.queries.norm != 0)] = True
-        i, j = np.nonzero(can)
-        if not len(i):
+        some = np.flatnonzero(can.any(axis=1))  # after the first rows few queries gain anything
+        if not len(some):
             return
+        i, j = np.divmod(np.flatnonzero(can[some]), can.shape[1])
+        i = some[i]
         score, there = exact(self.queries, i, rows, j)
         i, j, score = i[there], j[there], score[there]
-        new = pa.table({"q": pa.array(i.astype(np.int32)), "micros": pa.array(micros(score)), "key": keys.take(pa.array(rows.at[j]))})
-        self.table = first_of(pa.concat_tables([self.table, new]), self.k)
+        self.waiting.append(pa.table({"q": pa.array(i.astype(np.int32)), "micros": pa.array(micros(score)), "key": keys.take(pa.array(rows.at[j]))}))
+        self.n_waiting += len(i)
+        if self.n_waiting >= self.k * len(self.least) or len(self.waiting) >= PARTS:
+            self.rank()
+
+    def rank(self) -> None:
+        """What waits takes its place, and the least scores rise."""
+        self.table = first_of(pa.concat_tables([self.table, *self.waiting]), self.k)
+        self.waiting, self.n_waiting = [], 0
         q, value = self.table["q"].to_numpy(), self.table["micros"].to_numpy()
         last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.empty(0, np.int64)
         full = last[np.bincount(q, minlength=len(self.least))[q[last]] == self.k]
@@ -160,5 +177,6 @@ def best(batches: Iterator[pa.RecordBatch], queries: dict[int, Side], ids: pa.Ar
                     one.see(part, batch["key"])
     for blocks in held.values():
         for one in blocks:
+            one.rank()
             q, value = one.table["q"].to_numpy(), one.table["micros"].to_numpy()
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(one.queries.at[q])), one.table["key"].combine_chunks(), pa.array(scores_of(value), from_pandas=False)], names=["query_id", "key", "score"])

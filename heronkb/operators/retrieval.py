@@ -179,7 +179,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id")
     Each task keeps its ``k`` best a query (see ``products.best``), so what is ranked in the end is small.
     """
     kind, asked = vectors.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    rows = vectors.select(F.col(key).alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # Single precision goes to the tasks as it is, in half the bytes, and is widened there.
+    wide = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col(key).alias("key"), wide.alias("embedding"))
     arms = []
     for block in blocks_of(queries.select("query_id", F.col("q").cast("array<double>").alias("q"))):
         table = block.toArrow()  # a block of bounded size

@@ -63,6 +63,33 @@ def test_blocks_are_merged(monkeypatch):
         assert sorted((-s, i) for i, s in found.get(q, [])) == want
 
 
+def test_rows_are_ranked_when_many_wait(monkeypatch):
+    import pyarrow as pa
+
+    ranked, first_of = [], products.first_of
+    monkeypatch.setattr(products, "ROWS", 16)
+    monkeypatch.setattr(products, "ELEMENTS", 64, raising=False)
+    monkeypatch.setattr(products, "first_of", lambda table, k: ranked.append(len(table)) or first_of(table, k))
+    rng = np.random.default_rng(6)
+    data, asked = rng.normal(size=(2000, 8)), rng.normal(size=(20, 8))
+    batches = [pa.record_batch({"key": pa.array(range(a, a + 100)), "embedding": pa.array(data[a : a + 100].tolist())}) for a in range(0, 2000, 100)]
+    found = {}
+    for batch in products.best(iter(batches), products.sides(pa.array(asked.tolist())), pa.array(range(20)), 5):
+        for r in batch.to_pylist():
+            found.setdefault(r["query_id"], []).append(r["key"])
+    score = asked @ data.T / (np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(data, axis=1))
+    assert found == {q: np.argsort(-score[q])[:5].tolist() for q in range(20)}
+    assert len(ranked) < 20 and max(ranked) < 3 * 20 * 16  # of 126 tiles of rows; what waits stays small
+
+
+def test_single_precision_is_not_widened_before_the_tasks(spark, small):
+    e = spark.read.parquet(f"{small}/embeddings.parquet")
+    asked = e.limit(3).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    assert "cast(embedding" not in retrieval.nearest(e, asked, 2)._jdf.queryExecution().analyzed().toString()
+    wide = e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    assert got(e, asked, 7) == got(wide, asked, 7) == by_pairs(e, asked, 7)
+
+
 def test_halves_are_rounded_as_spark_does(spark):
     values = [0.1234565, -0.1234565, 0.0000005, -0.0000005, 2.5e-7, 0.9999995, 1.0, -1.0, 0.3000004999999, 0.1234575]
     want = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(F.round("v", 6)).collect()]
